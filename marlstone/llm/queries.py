@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.dedup import copies, unique_records
 from marlstone.llm.encoding import repair_values
+from marlstone.llm.sentences import sentence_ends, sentences
 from marlstone.sources.tables import table
 
 
@@ -31,6 +32,15 @@ def p4_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """End of every sentence unit of every document."""
+    return sentence_ends(table(spark, d, "documents"), "doc_id")
+
+
+def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return sentences(table(spark, d, "documents"), "doc_id")
+
+
 def _bare(x: str) -> str:
     return rf"regexp_replace(replace(lower(upper({x})), 'ς', 'σ'), '[\s\pZ\pP[:punct:]\x{{200b}}\x{{feff}}]+', '', 'g')"
 
@@ -44,7 +54,7 @@ SELECT article_id, {_parts("string_split(headline, '|')")} AS h, {_bare("regexp_
   || '@' || {_parts("string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&')")} || '@' || {_bare("regexp_extract(url, '#(.*)$', 1)")} AS u
 FROM articles_scraped WHERE trim(headline) <> '' AND trim(url) <> ''"""
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_unique": p4_unique}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_unique": p4_unique, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL = {
     "p4_unique": f"SELECT min(article_id) AS keep_id, count(*) AS copies FROM ({_CANON}) WHERE h <> '' GROUP BY h, u",
     "p4_found": f"SELECT keep_id, article_id AS copy_id FROM (SELECT article_id, min(article_id) OVER (PARTITION BY h, u) AS keep_id FROM ({_CANON}) WHERE h <> '') WHERE keep_id <> article_id",
