@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.dedup import copies, unique_records
 from marlstone.llm.encoding import repair_values
+from marlstone.llm.mixing import mix_sources
+from marlstone.llm.packing import pack_documents
 from marlstone.llm.sentences import sentence_ends, sentences
 from marlstone.sources.tables import table
 
@@ -32,6 +34,29 @@ def p4_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's place in a container, for each capacity."""
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and their fill by capacity."""
+    bins = p7_pack(spark, d).groupBy("capacity_id", "bin").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.sum("loss").alias("l"))
+    caps = table(spark, d, "pack_capacity")
+    made = bins.join(caps, "capacity_id").groupBy("capacity_id", "capacity_tokens")
+    return made.agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"), F.sum("l").alias("loss_tokens"), F.max("n").alias("most_segments"), (F.sum("t") / F.sum("capacity_tokens")).alias("fill"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Documents chosen for the mixture and how often each is used."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and reached share of every listed source."""
+    return mix_sources(table(spark, d, "documents"), table(spark, d, "source_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """End of every sentence unit of every document."""
     return sentence_ends(table(spark, d, "documents"), "doc_id")
@@ -54,7 +79,7 @@ SELECT article_id, {_parts("string_split(headline, '|')")} AS h, {_bare("regexp_
   || '@' || {_parts("string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&')")} || '@' || {_bare("regexp_extract(url, '#(.*)$', 1)")} AS u
 FROM articles_scraped WHERE trim(headline) <> '' AND trim(url) <> ''"""
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_unique": p4_unique, "p9_found": p9_found, "p9_sentences": p9_sentences}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_unique": p4_unique, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL = {
     "p4_unique": f"SELECT min(article_id) AS keep_id, count(*) AS copies FROM ({_CANON}) WHERE h <> '' GROUP BY h, u",
     "p4_found": f"SELECT keep_id, article_id AS copy_id FROM (SELECT article_id, min(article_id) OVER (PARTITION BY h, u) AS keep_id FROM ({_CANON}) WHERE h <> '') WHERE keep_id <> article_id",

@@ -122,6 +122,8 @@ def _starts(text: str, at: int) -> bool:
 def _abbreviated(text: str, dot: int, nxt: int, item_heads: set[int]) -> bool:
     """Whether the period at ``dot`` belongs to an abbreviation, initial, ordinal or item number."""
     left = _LEFT.search(text, max(0, dot - 24), dot).group()
+    glued = re.fullmatch(r".*(?:[^\W\d_]{3}|[\d%)])[.!?…]+([^\W\d_]+)", left)
+    left = glued.group(1) if glued else left  # the blank before it is missing
     word = left.lower()
     if not word:
         return False
