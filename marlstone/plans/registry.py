@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import prepare
+from marlstone.plans import prepare, relational, series, study
 
-FLAGSHIP = "p6_grid"
-QUERIES = {**prepare.QUERIES}
-SQL = {**prepare.SQL}
+_PARTS = (prepare, series, relational, study)
+FLAGSHIP = "d5_labels"
+QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
