@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marlstone.plans import prepare, relational, series, study
+from marlstone.plans import inference, prepare, relational, series, study
 
-_PARTS = (prepare, series, relational, study)
+_PARTS = (prepare, series, relational, study, inference)
 FLAGSHIP = "d5_labels"
 QUERIES = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 SQL = {name: s for part in _PARTS for name, s in part.SQL.items()}
