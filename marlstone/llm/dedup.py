@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from marlstone.session import durable
 
-_IGNORED = r"[\s\p{Z}\p{P}\p{Punct}​﻿]+"
+_IGNORED = r"[\s\p{Z}\p{P}\p{Punct}\u200b\ufeff]+"
 
 #: A group is hot from this share of all rows on; so there are at most this many hot groups.
 HOT_GROUPS = 1000
 
 
 def folded(text: Column) -> Column:
-    """Case folded by way of upper case, so that ``ß`` meets ``SS`` and final sigma its capital."""
-    return F.translate(F.lower(F.upper(text)), "ς", "σ")
+    """Case folded by way of upper case, so that ``ß`` meets ``SS`` and final sigma its capital.
+
+    The replacement between the two keeps the optimizer from reducing lower(upper(x)) to lower(x).
+    """
+    return F.translate(F.lower(F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))), "ς", "σ")
 
 
 def _bare(text: Column) -> Column:

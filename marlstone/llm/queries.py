@@ -67,7 +67,7 @@ def p9_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _bare(x: str) -> str:
-    return rf"regexp_replace(replace(lower(upper({x})), 'ς', 'σ'), '[\s\pZ\pP[:punct:]\x{{200b}}\x{{feff}}]+', '', 'g')"
+    return rf"regexp_replace(replace(lower(replace(upper({x}), 'ẞ', 'SS')), 'ς', 'σ'), '[\s\pZ\pP[:punct:]\x{{200b}}\x{{feff}}]+', '', 'g')"
 
 
 def _parts(x: str) -> str:

@@ -137,7 +137,8 @@ def _abbreviated(text: str, dot: int, nxt: int, item_heads: set[int]) -> bool:
     if word == "г":
         return not re.search(r"\d\s$", text[max(0, dot - 4) : dot - 1])
     if len(left) == 1 and left.isalpha():
-        return not left.islower() or left in SMALL
+        chained = re.search(r"(?:^|\s)[^\W\d_]\.\s?$", text[max(0, dot - 5) : dot - 1])
+        return not left.islower() or left in SMALL or bool(chained)
     if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", left) and left[-1].islower() and not left.isascii():
         return True
     if word.isdigit() and len(word) <= 3:
