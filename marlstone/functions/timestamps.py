@@ -39,7 +39,7 @@ ZONE_MINUTES = {
 # Abbreviations whose meaning depends on where the source is.
 ZONE_BY_PLACE = {("ist", "Asia/"): 330, ("ist", "Europe/"): 60, ("cst", "Asia/"): 480, ("cst", "America/"): -360}
 
-_BLANK = r"[\s\u00a0\u2007\u2009\u202f\u3000]"
+_BLANK = r"[\s\u0085\u200b\ufeff\p{Z}]"
 _DOW = rf"(?:\p{{L}}{{2,10}}\.?,{_BLANK}*|(?:mon|tue|wed|thu|fri|sat|sun)\p{{L}}*\.?{_BLANK}+)?"
 _DATE_FORMS = [
     r"(?<ya>\d{4})(?<sa>[-/.])(?<ma>\d{1,2})\k<sa>(?<da>\d{1,2})",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.timestamps import parse_dates, pin
 from marlstone.session import durable, small_side
 
-_BLANK = r"^[\s    　]*$"
+_BLANK = r"^[\s\u0085\p{Z}\u200b\ufeff]*$"
 
 
 def is_blank(column: Column) -> Column:
