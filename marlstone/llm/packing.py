@@ -25,26 +25,29 @@ def dot_product_pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     dimension weighs as much as there is room and demand left in it. Ties go to the earlier item.
     """
     share = sizes / limits
+    n, dims = share.shape
     demand = share.sum(axis=0)
-    weight = demand / demand.max() if len(share) and demand.max() > 0 else np.ones(sizes.shape[1])
-    order = np.lexsort((np.arange(len(share)), -(share @ weight)))
-    left = share[order]
-    bins = np.full(len(share), -1, dtype=np.int64)
-    alive = np.arange(len(order))
+    weight = demand / demand.max() if n and demand.max() > 0 else np.ones(dims)
+    order = np.lexsort((np.arange(n), -(share @ weight)))
+    bins = np.full(n, -1, dtype=np.int64)
+    columns = [np.ascontiguousarray(share[order, j]) for j in range(dims)]
+    places = np.arange(n)
     k = 0
-    while len(alive):
-        room = np.ones(share.shape[1])
-        open_ = alive
-        while len(open_):
-            fits = (left[open_] <= room + 1e-12).all(axis=1)
-            open_ = open_[fits]
-            if not len(open_):
+    while len(places):
+        taken = [0]  # an empty container weighs all dimensions alike, and that is the order
+        room = np.array([1 - c[0] for c in columns])
+        at, open_ = np.arange(1, len(places)), [c[1:] for c in columns]
+        while len(at):
+            fits = np.logical_and.reduce([c <= r + 1e-12 for c, r in zip(open_, room)])
+            at, open_ = at[fits], [c[fits] for c in open_]
+            if not len(at):
                 break
-            best = open_[int(np.argmax(left[open_] @ (weight * room)))]
-            bins[order[best]] = k
-            room = room - left[best]
-            open_ = open_[open_ != best]
-        alive = alive[bins[order[alive]] < 0]
+            best = int(np.argmax(sum(c * (w * r) for c, w, r in zip(open_, weight, room))))
+            taken.append(int(at[best]))
+            room = room - np.array([c[best] for c in open_])
+            at, open_ = np.delete(at, best), [np.delete(c, best) for c in open_]
+        bins[order[places[taken]]] = k
+        places, columns = np.delete(places, taken), [np.delete(c, taken) for c in columns]
         k += 1
     return bins
 

@@ -2,48 +2,50 @@
 
 from __future__ import annotations
 
+import base64
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters encoded in one call, so that a batch of long texts needs no more memory than one of short ones.
-BATCH_CHARS = 2_000_000
-
-
 def default_tokenizer() -> str:
-    """Path of the byte-level BPE file of the installed public tokenizers."""
+    """Path of the byte-level BPE ranks of the installed public tokenizers."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.json"))
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 @functools.cache
-def _load(path: str):
+def _counter(path: str) -> Callable[[str], int]:
+    """Token count of a text by the file's own library: ranks (.tiktoken), .json or sentencepiece (.model)."""
+    if path.endswith(".tiktoken"):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda text: len(encode(text))
+    if path.endswith(".model"):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        return lambda text: len(model.encode(text))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return t
+    return lambda text: len(t.encode(text, add_special_tokens=False))
 
 
 def token_counts(texts: list[str | None], path: str) -> list[int]:
     """Number of tokens of each text; NULL has none. The whole text counts, however long."""
-    t = _load(path)
-    out: list[int] = []
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end] or "") <= BATCH_CHARS):
-            chars += len(texts[end] or "")
-            end += 1
-        out += [len(e) for e in t.encode_batch_fast([x or "" for x in texts[at:end]], add_special_tokens=False)]
-        at = end
-    return out
+    count = _counter(path)
+    return [count(x) if x else 0 for x in texts]
 
 
 def n_tokens(text: Column, path: str | None = None) -> Column:

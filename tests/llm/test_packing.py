@@ -9,6 +9,15 @@ from marlstone.llm.tokens import default_tokenizer, token_counts
 from marlstone.sources.tables import table
 
 
+def test_token_counts_agree_between_libraries(folder):
+    import duckdb
+    import public_tokenizers
+
+    texts = [r[0] for r in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet'").fetchall()] + [None, "", "<|endoftext|> a", "x" * 100_000]
+    assert token_counts(texts, default_tokenizer()) == token_counts(texts, str(public_tokenizers.path("byte_bpe_50k.json")))
+    assert token_counts(["Hello there"], str(public_tokenizers.path("piece_bpe_32k.model")))[0] > 1
+
+
 def test_kernel_keeps_all_limits():
     rng = np.random.default_rng(1)
     for n in (0, 1, 300):
