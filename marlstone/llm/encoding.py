@@ -260,8 +260,8 @@ def _apply(text: str, spans: list[tuple[int, int, str]]) -> str:
 _W = "À-ÿĀ-ſƒˆ˜–—‘’‚“”„†‡•…‰‹›€™"
 _SUSPECT = re.compile(
     "[\x80-\x9f�─-▟∂∏∑√∞∫≈≠≤≥◊⌐ﬁﬂ¤¦¨¬¯´¶¸ªƒˆˇ˜˘˙˚˝˛‡†‰‚ÿìòÈÒÛÙÎÏËÌ]"
-    f"|[{_W}][¡-¿{_W}]|[a-z][À-ÖØ-Þ„“¡-¿Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-zÀ-ÿ]|(?:^| )[ìíîóÖñòÄ](?: |\\d|$)|–[A-Za-z]|[A-Za-z]–"
-    "|[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї]|[Ѐ-ӿ][¡-ª¬-º¼-¿]|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[¡-¿ÃÂÐÑØÙàãåäèéæçÎÏ][¡-¿]"
+    f"|(?!ç[ãõ]|Ç[ÃÕ]|ŁÓ|[Łł]ó|öß|……|’[à-öø-ÿÀ-ÖØ-Þ]|[“”»«][—“”«»€])[{_W}][¡-¿{_W}]|[a-z][À-ÖØ-Þ„¡-ª¬-º¼-¿Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-zÀ-ÿ]|(?:^| )[ìíîóÖñòÄ](?: |\\d|$)|–[A-Za-z]|[A-Za-z]–"
+    "|[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї]|[Ѐ-ӿ][¡-ª¬-º¼-¿]|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[¡-¿ÃÂÐÑØÙàãåäèéæçÎÏ][\u00a0-¿]"
 )
 _WIDE_SUSPECT = re.compile("[一-鿿｡-ﾟ]")
 
