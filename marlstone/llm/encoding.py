@@ -266,6 +266,11 @@ _SUSPECT = re.compile(
 _WIDE_SUSPECT = re.compile("[一-鿿｡-ﾟ]")
 
 
+#: A no-break space that lost its second byte's look on the way, and a text cut inside a damaged letter.
+_FLATTENED = re.compile("(?<=[0-9a-zà-ÿ])Â (?=[%:;!?»€])")
+_CUT_SHORT = re.compile("(?:(?<=[a-z])|(?<=[\\s“(]))(?:[ÂÃâÐØÑ]|â€)$")
+
+
 def repair(text: str | None) -> tuple[str | None, str | None]:
     """``(restored text, kind)``; kind is None for sound text.
 
@@ -273,8 +278,9 @@ def repair(text: str | None) -> tuple[str | None, str | None]:
     ``lost``: damage was seen, but nothing could be decoded. NULL and empty texts are sound.
     Double damage is undone layer by layer.
     """
-    if not text or text.isascii() or not (_SUSPECT.search(text) or _WIDE_SUSPECT.search(text) and any(_wide_is_damage(text, x) for codec in READ_AS_WIDE for x in wide_spans(text, codec))):
+    if not text or text.isascii() or not (_SUSPECT.search(text) or _FLATTENED.search(text) or _CUT_SHORT.search(text) or _WIDE_SUSPECT.search(text) and any(_wide_is_damage(text, x) for codec in READ_AS_WIDE for x in wide_spans(text, codec))):
         return text, None
+    text = _FLATTENED.sub("Â\u00a0", text)
     current, touched = text, False
     legacy = _legacy_repair(text)
     for _ in range(4):
@@ -419,7 +425,7 @@ def _still_damaged(text: str) -> bool:
     for m in _HIGH_RUN.finditer(text):
         if any("\x80" <= c <= "\x9f" for c in m.group()) or len(_ODD.findall(m.group())) > 1:
             return True
-    return any("\x80" <= c <= "\x9f" for c in text) or bool(re.search("[─-▟]", text)) or bool(_LETTER_RUN.search(text) and not re.search("[A-Za-z]", text))
+    return bool(_CUT_SHORT.search(text)) or any("\x80" <= c <= "\x9f" for c in text) or bool(re.search("[─-▟]", text)) or bool(_LETTER_RUN.search(text) and not re.search("[A-Za-z]", text))
 
 
 def repair_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
