@@ -268,7 +268,7 @@ _WIDE_SUSPECT = re.compile("[一-鿿｡-ﾟ]")
 
 #: A no-break space that lost its second byte's look on the way, and a text cut inside a damaged letter.
 _FLATTENED = re.compile("(?<=[0-9a-zà-ÿ])Â (?=[%:;!?»€])")
-_CUT_SHORT = re.compile("(?:(?<=[a-z])|(?<=[\\s“(]))(?:[ÂÃâÐØÑ]|â€)$")
+_CUT_SHORT = re.compile("(?:(?<=[a-z])|(?<=[\\s“(]))Ã$|â€$")
 
 
 def repair(text: str | None) -> tuple[str | None, str | None]:
