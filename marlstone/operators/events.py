@@ -60,9 +60,9 @@ def abnormal_returns(events: DataFrame, series: DataFrame, key: str, day: str =
 
 def window_sums(ar: DataFrame, key: str) -> DataFrame:
     """``car`` of every event and window."""
-    w = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in WINDOWS.items()])).alias("w")
-    x = ar.filter(F.col("rel") >= EVENT[0]).select("*", w).filter(F.col("rel").between(F.col("w.a"), F.col("w.b")))
-    return x.groupBy(key, "sign", "ev_date", F.col("w.name").alias("window")).agg(F.sum("ar").alias("car"), F.first("sd").alias("sd"), F.count("*").alias("days"))
+    w = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in WINDOWS.items()])).alias("__w")
+    x = ar.filter(F.col("rel") >= EVENT[0]).select("*", w).filter(F.col("rel").between(F.col("__w.a"), F.col("__w.b")))
+    return x.groupBy(key, "sign", "ev_date", F.col("__w.name").alias("window")).agg(F.sum("ar").alias("car"), F.first("sd").alias("sd"), F.count("*").alias("days"))
 
 
 def window_tests(ar: DataFrame, key: str) -> DataFrame:
@@ -81,8 +81,8 @@ def window_tests(ar: DataFrame, key: str) -> DataFrame:
     k = ar.withColumn("k", average_rank(F.col("ar"), [key, "sign", "ev_date"]) / (F.count("*").over(Window.partitionBy(key, "sign", "ev_date")) + 1) - 0.5)
     daily = k.groupBy("sign", "rel").agg(F.avg("k").alias("a"))
     spread = daily.groupBy("sign").agg(F.sqrt(F.avg(F.col("a") * F.col("a"))).alias("s_k"))
-    w = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, (a, b) in WINDOWS.items()])).alias("w")
-    ranks = daily.select("*", w).filter(F.col("rel").between(F.col("w.a"), F.col("w.b"))).groupBy("sign", F.col("w.name").alias("window")).agg(F.sum("a").alias("rank_sum"))
+    w = F.explode(F.array(*[F.struct(F.lit(m).alias("name"), F.lit(a).alias("a"), F.lit(b).alias("b")) for m, (a, b) in WINDOWS.items()])).alias("__w")
+    ranks = daily.select("*", w).filter(F.col("rel").between(F.col("__w.a"), F.col("__w.b"))).groupBy("sign", F.col("__w.name").alias("window")).agg(F.sum("a").alias("rank_sum"))
     x = z.join(p_hat, "sign").join(spread, "sign").join(ranks, ["sign", "window"])
     denominator = F.sqrt(F.col("n") * F.col("p_hat") * (1 - F.col("p_hat")))
     return x.select("sign", "window", "n", "mean_car", "patell_z", "bmp_z", ((F.col("positive") - F.col("n") * F.col("p_hat")) / F.when(denominator > 0, denominator)).alias("sign_z"), (F.col("rank_sum") / (F.sqrt("days") * F.when(F.col("s_k") > 0, F.col("s_k")))).alias("corrado_z"))

@@ -32,8 +32,8 @@ def walk_forward(df: DataFrame, key: str, week: str, specs: dict[str, list[str]]
     use = use.withColumns({"__k": order, "__n": total}).filter(F.col("__n") > min_train)
     last_block = F.floor((F.col("__n") - 1) / block)
     use = use.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__k") / block), last_block)))
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(h).alias("half_life")) for s in specs for h in half_lives])).alias("g")
-    use = use.select("*", grid).select(*use.columns, "g.spec", "g.half_life")
+    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(h).alias("half_life")) for s in specs for h in half_lives])).alias("__g")
+    use = use.select("*", grid).select(*use.columns, "__g.spec", "__g.half_life")
     names = [key, "spec", "half_life", week, "y", "p", "n_train", "n_train_events"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
