@@ -183,8 +183,11 @@ def _joined(text: str, a: int, b: int, marks: str) -> bool:
     if "぀" <= c <= "鿿":
         return marks[-1] in "!?؟"
     word = _LEFT.search(text, max(0, a - 24), a).group()
-    if marks == "." and (len(word) < 2 or word.lower() in NEVER or any(x in word for x in "/@_=\\")):
+    alone = len(word) < 2 and not (word.isdigit() or word == "%" or word.islower() and word not in SMALL and text[a - 3 : a - 2].isdigit())
+    if marks == "." and (alone or word.lower() in NEVER or any(x in word for x in "/@_=\\")):
         return False
+    if marks[-1] in "!?" and before.isspace():
+        before = text[:a].rstrip()[-1:]
     if not (before.islower() or before.isdigit() or before in "%" + _CLOSE or before.isalpha() and before.lower() == before.upper()):
         return False
     if c.isupper():
