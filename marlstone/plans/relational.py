@@ -197,7 +197,7 @@ def x1_scores(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", *r6(compound=lexicon_compound(F.col("text")), polarity=lexicon_polarity(F.col("text"))))
 
 
-def p12_codes(spark: SparkSession, d: str) -> DataFrame:
+def q12_codes(spark: SparkSession, d: str) -> DataFrame:
     """Codes of a category in sorted order and indicator of all but the first level, from the table of its levels."""
     x = prices(spark, d)
     levels = x.select("coin").distinct().withColumn("code", F.row_number().over(Window.orderBy("coin")) - 1)
@@ -224,7 +224,7 @@ def f1_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     s1_csv, s2_optional, s3_first_tab, s9_json, s9_props, s10_rss, s11_meta, j1_month, j3_cache, j6_outer, j8_asof, j9_trailing, j10_positional,
-    a1_monthly, a2_weekly, a3_coin_weekly, a4_counts, a5_quantiles, a8_nulls, a10_corr, a14_density, o5_cap, o6_first, u1_union, x4_texts, x1_scores, p12_codes, f14_zscore, f1_scalars,
+    a1_monthly, a2_weekly, a3_coin_weekly, a4_counts, a5_quantiles, a8_nulls, a10_corr, a14_density, o5_cap, o6_first, u1_union, x4_texts, x1_scores, q12_codes, f14_zscore, f1_scalars,
 )}
 _WORDS = "|".join(sorted(LEXICON))
 _VALUES = "MAP {" + ", ".join(f"'{k}': {v}" for k, v in sorted(LEXICON.items())) + "}"
@@ -268,7 +268,7 @@ SQL = {
     "u1_union": "SELECT 'articles' AS tbl, line_id AS id, CAST(length(text) AS INTEGER) AS chars FROM articles UNION ALL SELECT 'articles_scraped', article_id, CAST(length(headline) AS INTEGER) FROM articles_scraped UNION ALL SELECT 'documents', doc_id, CAST(length(text) AS INTEGER) FROM documents",
     "x4_texts": f"SELECT article_id, CAST(length({_BOTH}) AS INTEGER) AS plain, CAST(length(left(CASE WHEN {_TRIM} = {_STRIP("coalesce(snippet, '')")} THEN {_TRIM} ELSE {_BOTH} END, 240)) AS INTEGER) AS once FROM articles_scraped",
     "x1_scores": f"WITH {_SCORE} SELECT doc_id, {R6(_V)} AS compound, {R6('p')} AS polarity FROM sc",
-    "p12_codes": f"WITH {PX}, l AS (SELECT coin, dense_rank() OVER (ORDER BY coin) - 1 AS code FROM px) SELECT coin, CAST(code AS INTEGER) AS code, count(*) AS n, CAST(sum(CAST(code > 0 AS INTEGER)) AS BIGINT) AS indicated FROM l GROUP BY ALL",
+    "q12_codes": f"WITH {PX}, l AS (SELECT coin, dense_rank() OVER (ORDER BY coin) - 1 AS code FROM px) SELECT coin, CAST(code AS INTEGER) AS code, count(*) AS n, CAST(sum(CAST(code > 0 AS INTEGER)) AS BIGINT) AS indicated FROM l GROUP BY ALL",
     "f14_zscore": f"WITH {PX} SELECT coin, d, {R6('CASE WHEN stddev_pop(level) OVER w > 0 THEN (level - avg(level) OVER w) / stddev_pop(level) OVER w ELSE 0 END')} AS z FROM px WINDOW w AS (PARTITION BY coin)",
     "f1_scalars": f"SELECT l_orderkey, l_linenumber, left(md5(l_orderkey || '|' || l_linenumber), 16) AS key, replace(url_encode(l_returnflag || ' & ' || l_linestatus), '%20', '+') AS enc, strftime(l_shipdate, '%Y%m%d') AS ymd, CAST(date_diff('day', CAST(l_shipdate AS DATE), last_day(l_shipdate)) AS INTEGER) AS left_days, {R6('ln(l_extendedprice)')} AS ln, {R6('ln(1 + l_quantity)')} AS l1p, {R6('least(greatest(l_discount, 0.02), 0.08)')} AS clip, {R6('(l_extendedprice + l_quantity + l_tax) / 3')} AS typical, {R6('1 / (1 + exp(-l_tax))')} AS sig, {R6('pow(0.5, l_quantity / 26)')} AS half FROM lineitem",
 }
