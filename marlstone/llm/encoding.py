@@ -282,23 +282,29 @@ def repair(text: str | None) -> tuple[str | None, str | None]:
         return text, None
     text = _FLATTENED.sub("Â\u00a0", text)
     current, touched = text, False
-    legacy = _legacy_repair(text)
-    for _ in range(4):
+    legacy: tuple[float, str] | None = None
+    for layer in range(4):
         best: tuple[float, list] = (0.0, [])
         whole = False
+        foreign = sum(c > "\x7f" and c not in _NEUTRAL for c in current)
         for codec in READ_AS:
             share, spans = utf8_spans(current, codec)
             if spans and share >= (0.9 if codec in STRICT else 0.6) and not (codec in STRICT and len(spans) < 2):
-                gain = sum(b - a for a, b, _ in spans) * share
+                length = sum(b - a for a, b, _ in spans)
+                if length * share > best[0]:
+                    best, whole = (length * share, spans), share > 0.95
+                if share == 1 and length >= foreign and codec not in STRICT:
+                    break  # nothing is left to explain
+        else:
+            for codec in READ_AS_WIDE:
+                spans = [s for s in wide_spans(current, codec) if _wide_is_damage(current, s)]
+                gain = sum(2 * (b - a) for a, b, _ in spans)
                 if gain > best[0]:
-                    best, whole = (gain, spans), share > 0.95
-        for codec in READ_AS_WIDE:
-            spans = [s for s in wide_spans(current, codec) if _wide_is_damage(current, s)]
-            gain = sum(2 * (b - a) for a, b, _ in spans)
-            if gain > best[0]:
-                best = (gain, spans)
-        if legacy and legacy[0] > best[0] and not whole:
-            break
+                    best = (gain, spans)
+            if not layer:
+                legacy = _legacy_repair(text)
+                if legacy and legacy[0] > best[0] and not whole:
+                    break
         if not best[1]:
             break
         current, touched, legacy = _apply(current, best[1]), True, None
