@@ -43,10 +43,15 @@ _FULL = set("。！？｡．।॥")
 _CLOSE = ")]）】"
 _QUOTES = "\"“”„«»「」『』"
 _OPENERS = set("“„«「『\"‘([（【¿¡")
-_EVENT = re.compile(
-    rf"(?P<para>[^\S\n]*\n[^\S\n]*\n\s*)|(?P<thai>(?<=[{_THAI}])\s+(?=[{_THAI}]))|(?P<nl>\n)|(?P<term>[{re.escape(_TERM)}]+[{re.escape(_CLOSE)}]*)|(?P<quote>[{_QUOTES}])"
-    rf"|(?P<mixed>(?<=[{_THAI}])[^\S\n]+(?=[^\s{_THAI}]))"
-)
+_ANY = rf"[\n{re.escape(_TERM.replace(';', ''))}{_QUOTES}]"
+#: Where an event may be: its first character; semicolons in Greek only, and blanks after a letter in Thai.
+_EVENT = re.compile(_ANY)
+_EVENT_WIDE = re.compile(rf"{_ANY}|;|(?<=[{_THAI}])[^\S\n]")
+_WIDE = re.compile(rf"{_ANY}|;|(?<=[{_THAI}])[^\S\n]")
+_WIDE = re.compile(rf"[{_THAI}]|[Ͱ-Ͽἀ-῾];")
+_PARA = re.compile(r"\n[^\S\n]*\n\s*")
+_MARKS_RUN = re.compile(rf"[{re.escape(_TERM)}]+[{re.escape(_CLOSE)}]*")
+_BLANKS = re.compile(r"\s+")
 _LEFT = re.compile(r"[^\s(\[{\"“„«‘/—–]*$")
 _ITEM = re.compile(r"[^\S\n]*(?:([•◦‣▪*\-])|\(?(\d{1,3})[.)])[^\S\n]")
 _CAMEL = re.compile(r"[a-z]{1,4}[A-Z]")
@@ -254,31 +259,41 @@ def events(text: str) -> tuple[list[int], list[int]]:
         numbers = {0} if _ITEM.match(text) else set()
     symbols, ends = [], []
     para_end = -1
-    for m in _EVENT.finditer(text):
-        kind, at = m.lastgroup, m.start()
-        if kind == "para":
-            symbols.append(RESET)
-            ends.append(at)
-        elif kind == "nl":
-            if at in breaks:
+    skip = 0
+    for m in (_EVENT_WIDE if _WIDE.search(text) else _EVENT).finditer(text):
+        at, c = m.start(), m.group()
+        if at < skip:
+            continue
+        if c == ".":
+            nxt = text[at + 1 : at + 2]
+            if "a" <= nxt <= "z" and not _CAMEL.match(text, at + 1) or nxt.isdigit() and text[at - 1 : at].isdigit():
+                continue  # inside a name or number
+        if c in _TERM:
+            run = _MARKS_RUN.match(text, at)
+            skip = run.end()
+            if _end_mark(text, run, numbers):
+                symbols.append(TERM)
+                ends.append(skip)
+        elif c.isspace():
+            para = _PARA.match(text, at) if c == "\n" else None
+            if para:
+                skip = para.end()
                 symbols.append(RESET)
                 ends.append(at)
-        elif kind == "thai":
-            symbols.append(TERM)
-            ends.append(at)
-        elif kind == "mixed":
-            tail = _FOREIGN_END.match(text, m.end()).group().rstrip()
-            if tail[-1:] and tail.rstrip("”»\"")[-1:] in _TERM:
-                symbols.append(TERM)
+            elif c == "\n" and at in breaks:
+                symbols.append(RESET)
                 ends.append(at)
-        elif kind == "term":
-            if _end_mark(text, m, numbers):
-                symbols.append(TERM)
-                ends.append(m.end())
+            elif at and "ก" <= text[at - 1] <= "๎":
+                after = _BLANKS.match(text, at).end()
+                nxt = text[after : after + 1]
+                tail = "." if "ก" <= nxt <= "๎" else _FOREIGN_END.match(text, after).group().rstrip().rstrip("”»\"")
+                if nxt and tail[-1:] and tail[-1] in _TERM:
+                    symbols.append(TERM)
+                    ends.append(at)
         else:
-            mark = m.group()
+            mark = c
             if para_end < at:
-                nxt = re.compile(r"\n[^\S\n]*\n").search(text, at)
+                nxt = _PARA.search(text, at)
                 para_end = nxt.start() if nxt else len(text)
             partner = _PARTNER.get(mark)
             if partner and mark != "“" and not any(text.find(p, at + 1, para_end) > 0 for p in partner):
