@@ -162,3 +162,10 @@ def test_permutation(spark):
 def test_power_rises(spark):
     rows = {(r.n, r.odds_ratio): r.power for r in simulated_power(spark, [(150, 0.1, 1.0), (150, 0.1, 2.5), (600, 0.1, 2.5)], reps=80).collect()}
     assert rows[150, 1.0] < 0.15 < rows[150, 2.5] < rows[600, 2.5]
+
+
+def test_closed_form_size_equals_published_values(spark):
+    """At the event rate 18/273 the published sizes for odds ratios 1.3, 1.5, 1.7, 2.0 are 1851, 775, 453, 265."""
+    p = 18 / 273
+    z = 1.959964 + 0.841621
+    assert [round(z * z / (p * (1 - p) * math.log(o) ** 2)) for o in (1.3, 1.5, 1.7, 2.0)] == [1851, 775, 453, 265]
