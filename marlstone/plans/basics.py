@@ -12,6 +12,7 @@ from marlstone.functions.scorers import lexicon_model, model_score
 from marlstone.functions.text import LEXICON
 from marlstone.operators.joins import asof_forward
 from marlstone.operators.metrics import metrics
+from marlstone.operators.windows import along, log_return
 from marlstone.plans.inference import SPECS, features, h1_walk_forward
 from marlstone.plans.relational import _VALUES, _WORDS
 from marlstone.plans.series import PX, R6, RET, SENT, prices, r6, returns, sentiment
@@ -71,6 +72,15 @@ def s12_events(spark: SparkSession, d: str) -> DataFrame:
     return asof_forward(named.withColumn("one", F.lit(1)), days, ["one"], "day", "d", "t0").select("name", "sign", "day", "t0")
 
 
+def s5_ohlc(spark: SparkSession, d: str) -> DataFrame:
+    """Daily open, high, low and close of each segment, the typical price and its log return."""
+    o = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("ticker")), "o_custkey")
+    at = F.struct("o_orderdate", "o_orderkey")
+    x = o.groupBy("ticker", F.to_date("o_orderdate").alias("d")).agg(F.min_by("o_totalprice", at).alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", at).alias("close"))
+    x = x.withColumn("typical", (F.col("high") + F.col("low") + F.col("close")) / 3)
+    return x.select("ticker", "d", "open", "high", "low", "close", *r6(typical=F.col("typical"), r=log_return(F.col("typical"), along(["ticker"], "d"))))
+
+
 def k1_csv(spark: SparkSession, d: str) -> DataFrame:
     """A result written as CSV and read back."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-csv-")
@@ -109,7 +119,7 @@ def v10_pilot(spark: SparkSession, d: str) -> DataFrame:
     return x.select("coin", F.when(F.col("gap") < 0.15, "within").otherwise("beyond").alias("verdict"), *r6(gap=F.col("gap")))
 
 
-QUERIES = {f.__name__: f for f in (q1_project, q4_split, q6_dropna, q9_mask, q11_reindex, q12_onehot, o1_sorted, s12_events, k1_csv, k2_report, x3_model, v9_optimism, v10_pilot)}
+QUERIES = {f.__name__: f for f in (q1_project, q4_split, q6_dropna, q9_mask, q11_reindex, q12_onehot, o1_sorted, s5_ohlc, s12_events, k1_csv, k2_report, x3_model, v9_optimism, v10_pilot)}
 _SOFTMAX = f"""WITH h AS (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '\\b({_WORDS})\\b', 1), lambda w: {_VALUES}[w]) AS v FROM documents),
 l AS (SELECT doc_id, coalesce(list_sum(list_filter(v, lambda x: x > 0)), 0) AS p, -coalesce(list_sum(list_filter(v, lambda x: x < 0)), 0) AS n FROM h), t AS (SELECT *, greatest(p, n, 0) AS top FROM l)
 SELECT doc_id, {R6('(exp(p - top) - exp(n - top)) / (exp(p - top) + exp(n - top) + exp(-top))')} AS score FROM t"""
@@ -122,6 +132,7 @@ SQL = {
     "q12_onehot": "SELECT c_custkey, " + ", ".join(f"CAST(c_mktsegment = '{s}' AS DOUBLE) AS is_{s.lower()}" for s in ("BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")) + " FROM customer",
     "o1_sorted": f"WITH {RET} SELECT coin, d, {R6('r')} AS r FROM ret WHERE r IS NOT NULL ORDER BY 3 DESC, coin, d LIMIT 20",
     "s12_events": "WITH n(name, day, sign) AS (VALUES ('spring', DATE '1996-03-02', '-'), ('harvest', DATE '1997-09-06', '+'), ('new year', DATE '1999-01-01', '-'), ('leap day', DATE '2000-02-29', '+'), ('after', DATE '2031-01-01', '-')), o AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) SELECT name, sign, day, o.d AS t0 FROM n ASOF LEFT JOIN o ON n.day <= o.d",
+    "s5_ohlc": f"WITH b AS (SELECT c_mktsegment AS ticker, CAST(o_orderdate AS DATE) AS d, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL), t AS (SELECT *, (high + low + close) / 3 AS tp FROM b) SELECT ticker, d, open, high, low, close, {R6('tp')} AS typical, {R6('ln(tp) - lag(ln(tp)) OVER (PARTITION BY ticker ORDER BY d)')} AS r FROM t",
     "k1_csv": "SELECT s_suppkey, s_name, s_acctbal FROM supplier",
     "k2_report": "SELECT lpad(CAST(s_nationkey AS VARCHAR), 4, ' ') || ' ' || lpad(CAST(count(*) AS VARCHAR), 6, ' ') || ' ' || lpad(CAST(CAST(max(s_acctbal) AS DECIMAL(20,2)) AS VARCHAR), 12, ' ') AS line FROM supplier GROUP BY s_nationkey",
     "x3_model": _SOFTMAX,

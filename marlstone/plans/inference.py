@@ -57,6 +57,13 @@ def m7_blocks(spark: SparkSession, d: str) -> DataFrame:
     return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=100, block=8)
 
 
+def m8_interaction(spark: SparkSession, d: str) -> DataFrame:
+    """Pooled logit with a regime and its interaction with momentum."""
+    late = (F.col("week") >= "1998-01-01").cast("double")
+    x = features(spark, d).withColumns({"late": late, "mom_late": F.col("mom") * late})
+    return pooled_logit(x, "extreme_down", ["mom", "late", "mom_late", "rwdv"])
+
+
 def m9_panel(spark: SparkSession, d: str) -> DataFrame:
     """Pooled logit with asset effects and errors clustered by asset and week."""
     return pooled_logit(features(spark, d), "extreme_down", ["rwdv", "mom"], clusters=["asset", "week"], fixed_effects="asset")
@@ -134,7 +141,7 @@ def k3_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return m9_panel(spark, d).withColumn("excludes_one", (F.col("lo") > 1) | (F.col("hi") < 1)).select("feature", "excludes_one", settled(F.col("odds_ratio")).alias("odds_ratio"))
 
 
-QUERIES = {f.__name__: f for f in (m1_logit, m3_split, m4_firth, m6_permutation, m7_blocks, m9_panel, m10_ridge, m11_quantiles, m12_boosted, m13_spearman, d12_evt, h1_walk_forward, h1_scores, h4_weights, h5_power, h6_required, h7_hsieh, k3_verdicts)}
+QUERIES = {f.__name__: f for f in (m1_logit, m3_split, m4_firth, m6_permutation, m7_blocks, m8_interaction, m9_panel, m10_ridge, m11_quantiles, m12_boosted, m13_spearman, d12_evt, h1_walk_forward, h1_scores, h4_weights, h5_power, h6_required, h7_hsieh, k3_verdicts)}
 
 
 SQL = {

@@ -98,3 +98,22 @@ def test_stream_equals_batch(spark, folder, tmp_path):
     batch = {(r.week, r.event_type): r.n for r in weekly_stream(events, "ts", "event_type", "value").collect()}
     stream = run_available(spark, f"{folder}/events.parquet*", events.schema, str(tmp_path), "ts", "event_type", "value")
     assert {(r.week, r.event_type): r.n for r in stream.collect()} == batch and all(w.weekday() == 4 for w, _ in batch)
+
+
+def test_recovery_weights(spark):
+    """Zero on days without loss, in (0, 1] on days of loss, and the rows to regain half of it over ten."""
+    from marlstone.operators.labels import recovery_weights
+
+    rng = random.Random(9)
+    levels = [100.0]
+    for _ in range(300):
+        levels.append(levels[-1] * (1 + rng.gauss(0, 0.03)))
+    df = spark.createDataFrame([("a", day(k), v) for k, v in enumerate(levels)], "coin string, d date, level double")
+    got = [r.w for r in recovery_weights(df).orderBy("d").collect()]
+    for t, w in enumerate(got):
+        if t == 0 or levels[t] >= levels[t - 1]:
+            assert w == 0
+            continue
+        target = levels[t] + 0.5 * (levels[t - 1] - levels[t])
+        tau = next((s for s in range(1, 11) if t + s < len(levels) and levels[t + s] >= target), 10)
+        assert w == tau / 10
