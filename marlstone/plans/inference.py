@@ -24,10 +24,10 @@ SPECS = {"all": ["rwdv", "semidev", "mom"], "vol": ["rwdv"], "mom": ["mom"]}
 def features(spark: SparkSession, d: str) -> DataFrame:
     """Weekly feature table of the order series: labels, volatilities and momentum by asset."""
     x = assets(spark, d).select("asset", "d", "r")
-    x = x.withColumn("level", F.exp(running_sum(F.col("r"), along(["asset"], "d"))))
+    x = durable(x.withColumn("level", F.exp(running_sum(F.col("r"), along(["asset"], "d")))))
     vols = trailing_volatility(recovery_weights(x, "asset"), "asset").withColumn("week", week_end(F.col("d")))
     vols = vols.groupBy("asset", "week").agg(*[last_value(c).alias(c) for c in ("rwdv", "semidev")])
-    labels = decile_labels(scar_flags(x, "asset"), "asset")
+    labels = decile_labels(durable(scar_flags(x, "asset")), "asset")
     return labels.join(vols, ["asset", "week"], "left").join(momentum(x, "asset"), ["asset", "week"], "left").na.drop(subset=["rwdv", "mom"])
 
 
@@ -87,7 +87,7 @@ def m12_boosted(spark: SparkSession, d: str) -> DataFrame:
 
 def m13_spearman(spark: SparkSession, d: str) -> DataFrame:
     """Rank correlation of the abnormal return around an event with the momentum before it."""
-    x = assets(spark, d)
+    x = durable(assets(spark, d))
     cars = window_sums(abnormal_returns(decile_events(x, "asset"), x, "asset"), "asset").filter("window = 'full'").select("asset", "sign", "ev_date", "car")
     before = trailing_join(cars, x.select("asset", "d", "r"), ["asset"], "ev_date", "d", 28, [F.avg("r").alias("before")])
     return spearman_permutation(before, ["sign"], "before", "car")

@@ -10,6 +10,7 @@ from marlstone.operators.labels import decile_labels, extreme_labels, last_value
 from marlstone.operators.trailing import latest_readings
 from marlstone.operators.windows import along, average_rank, forward_fill, gap_clusters, rolling, rolling_weighted_mean, running_product, running_sum, top_k
 from marlstone.plans.prepare import settled
+from marlstone.session import durable
 from marlstone.sources.tables import table
 
 
@@ -29,6 +30,11 @@ def returns(spark: SparkSession, d: str) -> DataFrame:
     return with_returns(prices(spark, d))
 
 
+def flags(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly scar flags of all coins. They feed cuts, labels and joins several times, so the panel is read and cut once."""
+    return durable(scar_flags(durable(returns(spark, d))))
+
+
 def r6(**columns: Column) -> list[Column]:
     return [settled(c).alias(n) for n, c in columns.items()]
 
@@ -124,7 +130,7 @@ def w10_ffill(spark: SparkSession, d: str) -> DataFrame:
 
 def w11_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Decile weeks merged into clusters by gaps of at most 30 days; the worst week of each."""
-    x = decile_labels(scar_flags(returns(spark, d))).filter("cand_down = 1")
+    x = decile_labels(flags(spark, d)).filter("cand_down = 1")
     c = gap_clusters(x, ["coin"], "week", 30)
     worst = F.min(F.struct("ret_1w_fwd", "week")).alias("b")
     return c.groupBy("coin", "cluster_id").agg(worst, F.count("*").alias("weeks")).select("coin", "cluster_id", "weeks", F.col("b.week").alias("week"), *r6(ret_1w_fwd=F.col("b.ret_1w_fwd")))
@@ -169,7 +175,7 @@ def d3_rwdv(spark: SparkSession, d: str) -> DataFrame:
 
 def d5_labels(spark: SparkSession, d: str) -> DataFrame:
     """Weekly scar flags and decile labels."""
-    x = decile_labels(scar_flags(returns(spark, d)))
+    x = decile_labels(flags(spark, d))
     return x.select("coin", "week", "scar", "resolved", "extreme_down", "extreme_up", "cand_down", *r6(ret_1w=F.col("ret_1w"), ret_1w_fwd=F.col("ret_1w_fwd")))
 
 
@@ -179,8 +185,8 @@ def d7_momentum(spark: SparkSession, d: str) -> DataFrame:
 
 def weekly_features(spark: SparkSession, d: str) -> DataFrame:
     """Labels with the week's last volatilities and momentum; rows without volatility or outcome dropped."""
-    x = returns(spark, d)
-    labels = decile_labels(scar_flags(x))
+    x = durable(returns(spark, d))
+    labels = decile_labels(durable(scar_flags(x)))
     vols = trailing_volatility(recovery_weights(x)).withColumn("week", week_end(F.col("d")))
     vols = vols.groupBy("coin", "week").agg(*[last_value(c).alias(c) for c in ("rwdv", "semidev", "sd")])
     return labels.join(vols, ["coin", "week"], "left").join(momentum(x), ["coin", "week"], "left").na.drop(subset=["rwdv", "ret_1w_fwd"])
@@ -224,13 +230,13 @@ def d20_panel(spark: SparkSession, d: str) -> DataFrame:
     """Pooled panel: weekly labels with the coin's own sentiment of the week and the mean over all coins."""
     own = sentiment(spark, d).groupBy("coin", week_end(F.col("week")).alias("week")).agg(F.avg("s").alias("own"), F.sum("n").alias("n"))
     shared = own.groupBy("week").agg(F.avg("own").alias("shared"))
-    x = decile_labels(scar_flags(returns(spark, d))).select("coin", "week", "extreme_down")
+    x = decile_labels(flags(spark, d)).select("coin", "week", "extreme_down")
     return x.join(own, ["coin", "week"], "left").join(shared, "week", "left").select("coin", "week", "extreme_down", "n", *r6(own=F.col("own"), shared=F.col("shared")))
 
 
 def a13_base_rate(spark: SparkSession, d: str) -> DataFrame:
     """Share of extreme weeks by coin, and whether it lies within 5 to 15 %."""
-    x = decile_labels(scar_flags(returns(spark, d)))
+    x = decile_labels(flags(spark, d))
     rate = F.count_if(F.col("extreme_down") == 1) / F.count("*")
     return x.groupBy("coin").agg(F.count("*").alias("weeks"), settled(rate).alias("base_rate"), rate.between(0.05, 0.15).alias("in_band"))
 

@@ -10,6 +10,7 @@ from marlstone.operators.metrics import metrics, roc_points
 from marlstone.operators.windows import along, running_product, running_sum
 from marlstone.plans.prepare import settled
 from marlstone.plans.series import FRI, R6, r6
+from marlstone.session import durable
 from marlstone.sources.tables import table
 
 
@@ -21,12 +22,20 @@ def assets(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("price", running_product(F.col("r"), along(["asset"], "d")))
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
-    return decile_events(assets(spark, d), "asset")
+def _parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The series and its events, each cut once: both are read several times from here on."""
+    series = durable(assets(spark, d))
+    return series, durable(decile_events(series, "asset"))
 
 
 def _ar(spark: SparkSession, d: str) -> DataFrame:
-    return abnormal_returns(_events(spark, d), assets(spark, d), "asset")
+    series, events = _parts(spark, d)
+    return durable(abnormal_returns(events, series, "asset"))
+
+
+def _recovery(spark: SparkSession, d: str) -> DataFrame:
+    series, events = _parts(spark, d)
+    return recovery(events, series, "asset")
 
 
 def e1_index(spark: SparkSession, d: str) -> DataFrame:
@@ -36,7 +45,7 @@ def e1_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e2_events(spark: SparkSession, d: str) -> DataFrame:
-    return _events(spark, d).select("asset", "sign", "ev_date", *r6(week_ret=F.col("week_ret")))
+    return decile_events(durable(assets(spark, d)), "asset").select("asset", "sign", "ev_date", *r6(week_ret=F.col("week_ret")))
 
 
 def e3_abnormal(spark: SparkSession, d: str) -> DataFrame:
@@ -62,19 +71,20 @@ def e10_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e11_recovery(spark: SparkSession, d: str) -> DataFrame:
-    return recovery(_events(spark, d), assets(spark, d), "asset").select("asset", "sign", "ev_date", "rec50", "rec80", *r6(depth=F.col("depth")))
+    return _recovery(spark, d).select("asset", "sign", "ev_date", "rec50", "rec80", *r6(depth=F.col("depth")))
 
 
 def e13_records(spark: SparkSession, d: str) -> DataFrame:
     """One record per event: its abnormal sums by window and its recovery."""
-    c = window_sums(_ar(spark, d), "asset").groupBy("asset", "sign", "ev_date").pivot("window", list(WINDOWS)).agg(F.first("car"))
-    x = c.join(recovery(_events(spark, d), assets(spark, d), "asset"), ["asset", "sign", "ev_date"], "left")
+    series, events = _parts(spark, d)
+    c = window_sums(abnormal_returns(events, series, "asset"), "asset").groupBy("asset", "sign", "ev_date").pivot("window", list(WINDOWS)).agg(F.first("car"))
+    x = c.join(recovery(events, series, "asset"), ["asset", "sign", "ev_date"], "left")
     return x.select("asset", "sign", "ev_date", "rec50", "rec80", *r6(depth=F.col("depth"), **{f"car_{w}": F.col(w) for w in WINDOWS}))
 
 
 def e14_summary(spark: SparkSession, d: str) -> DataFrame:
     """Median recovery and events not recovered, by sign; groups of three events at least."""
-    r = recovery(_events(spark, d), assets(spark, d), "asset")
+    r = _recovery(spark, d)
     g = r.groupBy("sign").agg(F.count("*").alias("n"), settled(F.median("depth")).alias("depth"), settled(F.median("rec50")).alias("med50"), settled(F.median("rec80")).alias("med80"), F.count_if(F.col("rec50").isNull()).alias("open50"), F.count_if(F.col("rec80").isNull()).alias("open80"))
     return g.filter("n >= 3")
 
