@@ -52,22 +52,25 @@ def dot_product_pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return bins
 
 
-def items_of(df: DataFrame, key: str, text: str, capacities: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def items_of(df: DataFrame, key: str, text: str, capacities: DataFrame, tokenizer: str | None = None, max_loss: float = 1.0) -> DataFrame:
     """Sized items per capacity: ``capacity_id``, ``capacity``, ``key``, ``piece``, ``tokens``, ``loss``.
 
     A text's first paragraph, if more follows, is its prompt and bears no loss; without one all
-    tokens do. A text larger than the capacity is cut into full pieces and a rest. NULL and empty
-    texts take no room and give no item; capacities that are NULL or not positive hold nothing.
+    tokens do. A text that exceeds the capacity in tokens or ``max_loss`` x capacity in loss-bearing
+    ones is cut into pieces of the smaller of the two and a rest; every other text is one item. NULL
+    and empty texts take no room and give no item; capacities that are NULL or not positive hold nothing.
     """
     head = F.regexp_extract(F.col(text), r"^([^\n]+\n\s*\n)", 1)
     sized = df.select(F.col(key).alias("key"), n_tokens(F.col(text), tokenizer).alias("__n"), n_tokens(F.when(F.length(head) < F.length(text), head), tokenizer).alias("__p"))
     sized = durable(sized.filter("__n > 0").withColumn("__u", F.monotonically_increasing_id()))
     caps = capacities.filter("capacity_tokens > 0").groupBy("capacity_id").agg(F.min("capacity_tokens").alias("capacity"))
-    each = F.explode(caps_array(caps)).alias("__c")
-    both = sized.select("*", each).select("*", F.col("__c.capacity_id"), F.col("__c.capacity"))
-    pieces = both.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / F.col("capacity")).cast("int"))).alias("piece"))
-    start = F.col("piece") * F.col("capacity")
-    tokens = F.least(F.col("capacity"), F.col("__n") - start)
+    both = sized.select("*", F.explode(caps_array(caps)).alias("__c")).select("*", F.col("__c.capacity_id"), F.col("__c.capacity"))
+    loss_limit = F.greatest(F.lit(1), F.floor(F.col("capacity") * max_loss)).cast("int")
+    over = (F.col("__n") > F.col("capacity")) | (F.col("__n") - F.least("__p", "__n") > loss_limit)
+    both = both.withColumn("__size", F.when(over, F.least("capacity", loss_limit)).otherwise(F.col("__n")))
+    pieces = both.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / F.col("__size")).cast("int"))).alias("piece"))
+    start = F.col("piece") * F.col("__size")
+    tokens = F.least(F.col("__size"), F.col("__n") - start)
     loss = tokens - F.greatest(F.lit(0), F.least(tokens, F.col("__p") - start))
     return pieces.select("capacity_id", "capacity", "key", "__u", "piece", tokens.alias("tokens"), loss.alias("loss"))
 
@@ -102,17 +105,16 @@ def pack_documents(df: DataFrame, capacities: DataFrame, key: str = "doc_id", te
     """Texts into containers of each capacity: ``capacity_id``, ``bin``, ``key``, ``piece``, ``tokens``, ``loss``.
 
     A container holds at most the capacity in tokens, ``max_segments`` items (default: one per 16
-    tokens of capacity) and ``max_loss`` x capacity loss-bearing tokens. No text is split unless it
-    alone exceeds the capacity (see ``items_of``).
+    tokens of capacity) and ``max_loss`` x capacity loss-bearing tokens (1, the default, never binds). No text is split unless it alone exceeds a limit (see ``items_of``).
 
     Items are spread at random over shards of about SHARD_ITEMS and packed there by
     ``dot_product_pack``; a shard's last, poorly filled containers are then emptied and their items
     packed once more together. No group depends on a key of the data, so none can be hot.
     """
-    if max_loss < 1:
-        raise ValueError("a full piece of a long text must fit: max_loss is at least 1")
-    items = durable(items_of(df, key, text, capacities, tokenizer))
-    limits = {"__segments": F.lit(max_segments) if max_segments else F.greatest(F.lit(1), F.floor(F.col("capacity") / 16)), "__loss": F.col("capacity") * max_loss}
+    if not 0 < max_loss <= 1:
+        raise ValueError("max_loss is a share of the capacity")
+    items = durable(items_of(df, key, text, capacities, tokenizer, max_loss))
+    limits = {"__segments": F.lit(max_segments) if max_segments else F.greatest(F.lit(1), F.floor(F.col("capacity") / 16)), "__loss": F.greatest(F.lit(1), F.floor(F.col("capacity") * max_loss))}
     shards = lambda n: max(1, -(-n // SHARD_ITEMS))
     per_capacity = max([r["count"] for r in items.groupBy("capacity_id").count().collect()] or [0])
     spread = lambda n: F.pmod(F.xxhash64("__u", "piece"), F.lit(n)).cast("int")

@@ -39,6 +39,11 @@ def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacity"))
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The same under a tighter limit on loss-bearing tokens, 80 % of the capacity, and on segments, eight."""
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_capacity"), max_segments=8, max_loss=0.8)
+
+
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Containers and their fill by capacity."""
     bins = p7_pack(spark, d).groupBy("capacity_id", "bin").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.sum("loss").alias("l"))
@@ -79,7 +84,7 @@ SELECT article_id, {_parts("string_split(headline, '|')")} AS h, {_bare("regexp_
   || '@' || {_parts("string_split(regexp_extract(url, '^[^?#]*[?]([^#]*)', 1), '&')")} || '@' || {_bare("regexp_extract(url, '#(.*)$', 1)")} AS u
 FROM articles_scraped WHERE trim(headline) <> '' AND trim(url) <> ''"""
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_unique": p4_unique, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sentences": p9_sentences}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p4_found": p4_found, "p4_unique": p4_unique, "p7_pack": p7_pack, "p7_limits": p7_limits, "p7_report": p7_report, "p8_mix": p8_mix, "p8_report": p8_report, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL = {
     "p4_unique": f"SELECT min(article_id) AS keep_id, count(*) AS copies FROM ({_CANON}) WHERE h <> '' GROUP BY h, u",
     "p4_found": f"SELECT keep_id, article_id AS copy_id FROM (SELECT article_id, min(article_id) OVER (PARTITION BY h, u) AS keep_id FROM ({_CANON}) WHERE h <> '') WHERE keep_id <> article_id",

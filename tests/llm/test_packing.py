@@ -1,5 +1,7 @@
 """Packing and mixing: invariants, and nothing lost."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -35,18 +37,22 @@ def check_pack(spark, docs, capacities, **options):
     out = pack_documents(docs, capacities, **options).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     sizes = dict(zip(texts, token_counts(list(texts.values()), default_tokenizer())))
-    for c in {r.capacity_id: r.capacity_tokens for r in capacities.collect()}.items():
-        rows = [r for r in out if r.capacity_id == c[0]]
-        for doc, size in sizes.items():
-            mine = sorted((r.piece, r.tokens) for r in rows if r.doc_id == doc)
-            assert sum(t for _, t in mine) == size and [p for p, _ in mine] == list(range(len(mine)))
-            assert len(mine) == -(-size // c[1])  # split only if it alone exceeds the capacity
-        bins = {}
+    heads = {k: m.group(1) if t and (m := re.match(r"([^\n]+\n\s*\n)", t)) and len(m.group(1)) < len(t) else "" for k, t in texts.items()}
+    prompts = dict(zip(heads, token_counts(list(heads.values()), default_tokenizer())))
+    for c, room in {r.capacity_id: r.capacity_tokens for r in capacities.collect()}.items():
+        loss_room = max(1, int(room * options.get("max_loss", 1.0)))
+        rows = [r for r in out if r.capacity_id == c]
+        mine, bins = {}, {}
         for r in rows:
+            mine.setdefault(r.doc_id, []).append(r)
             bins.setdefault(r.bin, []).append(r)
+        for doc, size in sizes.items():
+            pieces = sorted((r.piece, r.tokens, r.loss) for r in mine.get(doc, []))
+            loss = size - min(size, prompts[doc])
+            assert sum(t for _, t, _ in pieces) == size and sum(x for *_, x in pieces) == loss and [p for p, *_ in pieces] == list(range(len(pieces)))
+            assert len(pieces) == (0 if not size else 1 if size <= room and loss <= loss_room else -(-size // min(room, loss_room)))
         for b in bins.values():
-            assert sum(r.tokens for r in b) <= c[1] and len(b) <= options.get("max_segments", max(1, c[1] // 16))
-            assert all(0 <= r.loss <= r.tokens for r in b)
+            assert sum(r.tokens for r in b) <= room and len(b) <= options.get("max_segments", max(1, room // 16)) and sum(r.loss for r in b) <= loss_room
     return out
 
 
@@ -54,6 +60,10 @@ def test_pack(spark, folder):
     check_pack(spark, table(spark, folder, "documents"), table(spark, folder, "pack_capacity"))
 
 
+def test_pack_under_tight_limits(spark, folder):
+    check_pack(spark, table(spark, folder, "documents"), table(spark, folder, "pack_capacity"), max_segments=5, max_loss=0.6)
+
+
 def test_pack_edges(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (3, "a"), (4, "word " * 5000), (5, "Title\n\nBody of it"), (6, "a"), (7, "\n\n")], "doc_id long, text string").withColumn("bin", F.lit("x")).withColumn("tokens", F.lit(1))
     caps = spark.createDataFrame([(1, 50), (2, 4), (3, 0), (4, None)], "capacity_id int, capacity_tokens int")
