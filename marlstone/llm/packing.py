@@ -30,22 +30,32 @@ def dot_product_pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     weight = demand / demand.max() if n and demand.max() > 0 else np.ones(dims)
     order = np.lexsort((np.arange(n), -(share @ weight)))
     bins = np.full(n, -1, dtype=np.int64)
-    columns = [np.ascontiguousarray(share[order, j]) for j in range(dims)]
+    even = [n > 0 and share[:, j].min() == share[:, j].max() for j in range(dims)]
+    columns = [np.ascontiguousarray(share[order, j]) for j in range(dims) if not even[j]]
+    weights = [w for w, e in zip(weight, even) if not e]
+    # A dimension of which all items take the same bounds their number and favours none of them.
+    most = min([n, *[int((1 + 1e-9) / share[0, j]) for j in range(dims) if even[j] and share[0, j] > 0]]) if n else 0
     places = np.arange(n)
     k = 0
     while len(places):
         taken = [0]  # an empty container weighs all dimensions alike, and that is the order
-        room = np.array([1 - c[0] for c in columns])
+        room = [1 - c[0] for c in columns]
         at, open_ = np.arange(1, len(places)), [c[1:] for c in columns]
-        while len(at):
-            fits = np.logical_and.reduce([c <= r + 1e-12 for c, r in zip(open_, room)])
-            at, open_ = at[fits], [c[fits] for c in open_]
-            if not len(at):
-                break
-            best = int(np.argmax(sum(c * (w * r) for c, w, r in zip(open_, weight, room))))
+        while len(at) and len(taken) < most:
+            if open_:
+                fits = open_[0] <= room[0] + 1e-12
+                for c, r in zip(open_[1:], room[1:]):
+                    fits &= c <= r + 1e-12
+                at, open_ = at[fits], [c[fits] for c in open_]
+                if not len(at):
+                    break
+            best = int(sum(c * (w * r) for c, w, r in zip(open_, weights, room)).argmax()) if open_ else 0
             taken.append(int(at[best]))
-            room = room - np.array([c[best] for c in open_])
-            at, open_ = np.delete(at, best), [np.delete(c, best) for c in open_]
+            room = [r - c[best] for c, r in zip(open_, room)]
+            if open_:
+                open_[0][best] = np.inf  # no longer fits
+            else:
+                at = at[1:]
         bins[order[places[taken]]] = k
         places, columns = np.delete(places, taken), [np.delete(c, taken) for c in columns]
         k += 1
