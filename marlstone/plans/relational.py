@@ -11,7 +11,7 @@ from marlstone.operators.joins import asof_forward, positional_join, score_with_
 from marlstone.operators.windows import along, keep_first, top_k
 from marlstone.plans.prepare import settled
 from marlstone.plans.series import FRI, PX, R6, RET, SENT, prices, r6, returns, sentiment
-from marlstone.sources.documents import first_tab, gdelt_articles, meta_description, rss_items, with_optional
+from marlstone.sources.documents import first_tab, news_articles, meta_description, rss_items, with_optional
 from marlstone.sources.tables import table
 
 # ---- sources -------------------------------------------------------------------------------------------------
@@ -39,7 +39,7 @@ def s3_first_tab(spark: SparkSession, d: str) -> DataFrame:
 def s9_json(spark: SparkSession, d: str) -> DataFrame:
     """Articles out of JSON documents with an articles array."""
     a = table(spark, d, "documents").select("doc_id", F.struct(F.array(F.struct(F.date_format("published", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), F.col("source").alias("domain"), F.lit("u").alias("url"), F.substring("text", 1, 40).alias("title"))).alias("articles")).alias("s"))
-    return gdelt_articles(a.select("doc_id", F.to_json("s").alias("json")), "json").select("doc_id", "day", "source", "headline")
+    return news_articles(a.select("doc_id", F.to_json("s").alias("json")), "json").select("doc_id", "day", "source", "headline")
 
 
 def s9_props(spark: SparkSession, d: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GDELT_SCHEMA = "struct<articles:array<struct<seendate:string,domain:string,url:string,title:string>>>"
+NEWS_SCHEMA = "struct<articles:array<struct<seendate:string,domain:string,url:string,title:string>>>"
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -28,9 +28,9 @@ def first_tab(line: Column) -> tuple[Column, Column]:
     return F.when(has, F.substring_index(line, "\t", 1)), F.when(has, F.substring(line, F.locate("\t", line) + 1, F.length(line))).otherwise(line)
 
 
-def gdelt_articles(df: DataFrame, json: str) -> DataFrame:
+def news_articles(df: DataFrame, json: str) -> DataFrame:
     """One row per article of the JSON documents; the day from the date's first eight digits, others dropped."""
-    a = df.withColumn("__a", F.explode(F.from_json(json, GDELT_SCHEMA)["articles"]))
+    a = df.withColumn("__a", F.explode(F.from_json(json, NEWS_SCHEMA)["articles"]))
     day = F.try_to_timestamp(F.substring(F.col("__a.seendate"), 1, 8), F.lit("yyyyMMdd")).cast("date")
     out = a.select(*df.columns, day.alias("day"), F.col("__a.domain").alias("source"), F.col("__a.url").alias("url"), F.trim("__a.title").alias("headline"))
     return out.filter(F.col("day").isNotNull() & (F.col("headline") != ""))

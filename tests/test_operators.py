@@ -11,7 +11,7 @@ from marlstone.operators.events import bootstrap_means
 from marlstone.operators.joins import asof_forward, positional_join, score_with_cache, trailing_join
 from marlstone.operators.windows import along, average_rank, gap_clusters, keep_first, rolling
 from marlstone.sources.archive import JsonArchive, first_available, read_through, request_key
-from marlstone.sources.documents import gdelt_articles, meta_description, read_csv, rss_items
+from marlstone.sources.documents import news_articles, meta_description, read_csv, rss_items
 from marlstone.streaming.weekly import run_available, weekly_stream
 
 
@@ -60,7 +60,7 @@ def test_windows(spark):
 
 def test_sources(spark, tmp_path):
     docs = spark.createDataFrame([(json.dumps({"articles": [{"seendate": "20210304T000000Z", "domain": "d", "url": "u", "title": " T "}, {"seendate": "bad", "title": "x"}]}),), ("{}",), ("nonsense",), (None,)], "j string")
-    assert [(r.day, r.headline) for r in gdelt_articles(docs, "j").collect()] == [(date(2021, 3, 4), "T")]
+    assert [(r.day, r.headline) for r in news_articles(docs, "j").collect()] == [(date(2021, 3, 4), "T")]
     xml = "<rss><item><title>A &amp; b</title><link> http://l </link><description><![CDATA[<p>Text</p> more]]></description><pubDate>Mon</pubDate></item><item><title>Only</title></item></rss>"
     assert [(r.title, r.link, r.snippet) for r in rss_items(spark.createDataFrame([(xml,), (None,)], "x string"), "x").collect()] == [("A & b", "http://l", "Text more"), ("Only", None, None)]
     html = "<meta property='og:description' content='og'><meta name=\"description\" content=\"plain\">"
