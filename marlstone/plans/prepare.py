@@ -9,6 +9,7 @@ from marlstone.operators.moments import host_source, normalise_dates
 from marlstone.operators.records import is_blank, load_records
 from marlstone.operators.regrid import regrid_weekly
 from marlstone.operators.trailing import trailing_totals
+from marlstone.plans import records_sql
 from marlstone.sources.tables import table
 
 
@@ -129,6 +130,8 @@ FROM g LEFT JOIN a USING (coin, week)"""
 
 QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid, "p3_found": p3_found, "p3_prices": p3_prices, "p3_sentiment": p3_sentiment, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
 SQL = {
+    "p2_found": records_sql.FAILED,
+    "p2_valid": records_sql.VALID,
     "p3_prices": _trailing_sql("panel_prices", "date", "close", "close", {"close": "v0"}),
     "p3_sentiment": _trailing_sql("sentiment_weekly", "week", "n_articles", "finbert_exp_hl7", {"n_articles": "v0", "finbert_exp_hl7": "v1"}),
     "p3_found": _gap_sql("panel_prices", "date", "close") + " UNION ALL " + _gap_sql("sentiment_weekly", "week", "n_articles"),
