@@ -132,6 +132,7 @@ QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid, "p3_found": p3_found, "p3
 SQL = {
     "p2_found": records_sql.FAILED,
     "p2_valid": records_sql.VALID,
+    "p5_found": records_sql.MOMENTS,
     "p3_prices": _trailing_sql("panel_prices", "date", "close", "close", {"close": "v0"}),
     "p3_sentiment": _trailing_sql("sentiment_weekly", "week", "n_articles", "finbert_exp_hl7", {"n_articles": "v0", "finbert_exp_hl7": "v1"}),
     "p3_found": _gap_sql("panel_prices", "date", "close") + " UNION ALL " + _gap_sql("sentiment_weekly", "week", "n_articles"),
