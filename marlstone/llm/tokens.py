@@ -49,7 +49,11 @@ def token_counts(texts: list[str | None], path: str) -> list[int]:
 
 
 def n_tokens(text: Column, path: str | None = None) -> Column:
-    """Tokens of a text column, as INT; 0 for NULL and empty texts."""
+    """Tokens of a text column, as INT; 0 for NULL and empty texts.
+
+    Declared as not deterministic, though it is: the optimizer would otherwise copy it into a filter
+    on its result and count every text twice.
+    """
     path = path or default_tokenizer()
 
     @F.pandas_udf("int")
@@ -57,4 +61,4 @@ def n_tokens(text: Column, path: str | None = None) -> Column:
         for texts in batches:
             yield pd.Series(token_counts([t if isinstance(t, str) else None for t in texts], path), dtype="int32")
 
-    return count(text)
+    return count.asNondeterministic()(text)
