@@ -140,30 +140,91 @@ def utf8_spans(text: str, codec: str) -> tuple[float, list[tuple[int, int, str]]
     return (covered / (covered + all_high) if covered else 0.0), spans
 
 
+_WIDE_RUN = re.compile(r"[^\x00-\x7f�-]+")
+#: Stretches that may lie inside a run: characters of three bytes, or of two bytes of a script that is not Latin.
+_INNER_SPAN = re.compile(
+    rb"(?:\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf])(?:(?:\xc2[\xa0-\xbf])?(?:\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]))+"
+    rb"|(?:[\xcd-\xd3\xd8-\xdb][\x80-\xbf]){4,}"
+)
+_MARKS = {"punct", "cjkpunct"}
+
+
+def _sure(decoded: str) -> bool:
+    """Whether a stretch inside a run reads as text too well for sound text to form it by chance: usual ideographs or kana, or some letters of one script."""
+    kinds = {_script(c) for c in decoded}
+    letters = [c for c in decoded if _script(c) not in _MARKS and ord(c) > 0xFF]
+    if kinds & {"rare", "rarehan", "ipa", "mark", "armenian", "hebrew", "symbol"} or len(letters) < 2:
+        return False
+    if kinds <= {"han", "kana", "hangul", "latin"} | _MARKS:
+        return max(_wide_quality("".join(letters), codec) for codec in ("gbk", "big5", "shift_jis", "euc_kr")) >= 0.5
+    return len(kinds - _MARKS) == 1 and len(letters) >= (3 if letters[0] >= "\u0800" else 4)
+
+
+def _lost(raw: bytes) -> str:
+    """What is left of bytes beside a span: ASCII that a pair took in, and a mark for every byte that cannot be known."""
+    return "".join(chr(b) if b < 0x80 else "�" for b in raw)
+
+
+def _inner_spans(run: str, codec: str, after_loss: bool) -> list[tuple[int, int, str]]:
+    """Well-formed stretches anywhere in a run, with the positions of the characters they touch.
+
+    Sound text beside a stretch was read apart from it, so a stretch begins with a character, except
+    after a lost byte: where the run follows a replacement character, or within three bytes of the stretch before.
+    """
+    parts = []
+    for c in run:
+        try:
+            parts.append(c.encode(codec))
+        except UnicodeEncodeError:
+            parts.append(b"\0")
+    raw = b"".join(parts)
+    starts, owner = {0: 0}, []
+    for k, x in enumerate(parts):
+        owner += [k] * len(x)
+        starts[len(owner)] = k + 1
+    made: list[list] = []  # first and last byte of each stretch and its text
+    for m in _INNER_SPAN.finditer(raw):
+        (a, b), decoded = m.span(), m.group().decode("utf-8")
+        near = made and a - made[-1][1] <= 3 or not made and after_loss and a <= 3 and all(0x80 <= x < 0xC0 for x in raw[:a])
+        while decoded and a not in starts and not near:  # its first bytes end a sound character
+            a, decoded = a + len(decoded[0].encode()), decoded[1:]
+        if decoded and _sure(decoded):
+            made.append([a, b, decoded])
+    spans: list[list] = []
+    for a, b, decoded in made:
+        first, last = owner[a], owner[b - 1]
+        if spans and (first <= spans[-1][1] - 1 or a - spans[-1][3] <= 3):
+            spans[-1][1:] = [last + 1, spans[-1][2] + _lost(raw[spans[-1][3] : a]) + decoded, b]
+        else:
+            if not spans and after_loss and a <= 3:
+                first = 0
+            spans.append([first, last + 1, _lost(raw[owner.index(first) : a]) + decoded, b])
+    return [(first, end, text + _lost(raw[b : owner.index(end) if end < len(run) else len(raw)])) for first, end, text, b in spans]
+
+
 def wide_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
     """The same for double-byte sets: runs outside ASCII are encoded and cut at ill-formed bytes.
 
     UTF-8 read in a double-byte set eats ASCII into pairs, so a run may take up to one following
-    byte; the replacement character stands for one lost byte and ends a span.
+    byte; the replacement character stands for one lost byte and ends a span. A run that is one
+    stretch from its head is taken whole; of any other, the stretches that are ``_sure``.
     """
     spans = []
-    for m in re.finditer(r"[^\x00-\x7f�-]+", text):
-        try:
-            raw = m.group().encode(codec)
-        except UnicodeEncodeError:
-            continue
+    for m in _WIDE_RUN.finditer(text):
+        raw = m.group().encode(codec, "replace")
         good = _UTF8_SPAN.match(raw)
-        if not good:
-            continue
-        decoded, lost = good.group().decode("utf-8"), raw[good.end():]
-        if len(lost) > 2 or not plausible(decoded, True):
-            continue
-        tail = ""
-        if lost:
-            if lost[-1] < 0x80:
-                tail = chr(lost[-1])
-            tail = "�" * (len(lost) - len(tail)) + tail
-        spans.append((m.start(), m.end(), decoded + tail))
+        if good and len(raw) - good.end() <= 2 and b"?" not in raw[: good.end()]:
+            decoded, lost = good.group().decode("utf-8"), raw[good.end() :]
+            if b"?" not in lost and plausible(decoded, True):
+                tail = ""
+                if lost:
+                    if lost[-1] < 0x80:
+                        tail = chr(lost[-1])
+                    tail = "�" * (len(lost) - len(tail)) + tail
+                spans.append((m.start(), m.end(), decoded + tail))
+                continue
+        if _INNER_SPAN.search(raw):
+            spans += [(m.start() + a, m.start() + b, decoded) for a, b, decoded in _inner_spans(m.group(), codec, text[m.start() - 1 : m.start()] == "�")]
     return spans
 
 
@@ -396,7 +457,7 @@ def _wide_is_damage(text: str, span: tuple[int, int, str]) -> bool:
     """A double-byte reading is damage if a byte is lost after it, if it is long, or if it gives the Latin letter its word lacks."""
     a, b, decoded = span
     before, after = text[a - 1 : a], text[b : b + 1]
-    if after == "�":
+    if after == "�" or _sure(decoded.replace("�", "")):
         return True
     if b - a >= 3 and all(_script(c) not in ("rare", "latin") or c in " «»" for c in decoded):
         return True

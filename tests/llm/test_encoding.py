@@ -58,6 +58,21 @@ def test_stretch_and_loss():
     assert utf8_spans("CafÃ© Ã", "latin-1")[1] == [(3, 5, "é")]
 
 
+@pytest.mark.parametrize("text", ["回落", "资金没有移动", "Почему держатели", "ไม่ขาย"])
+def test_stretch_after_sound_wide_text(text):
+    for before, after in (("比特币", ""), ("", "，比特币"), ("比特币", "，矿工")):
+        bad = text.encode().decode("gb18030", "replace")
+        if "�" not in bad:
+            assert repair(before + bad + after) == (before + text + after, "restored")
+
+
+def test_stretch_after_a_lost_byte():
+    bad = "。资金没有移动".encode()[1:].decode("gb18030", "replace")
+    restored, kind = repair("�" + bad)
+    assert "资金没有移" in restored and kind == "partial"
+    assert repair("�傝祫閲戞病鏈夌Щ鍔ㄣ�") == ("��资金没有移动��", "partial")
+
+
 def test_long_text():
     text = "Gebühren sinken. " * 20_000
     assert repair(misread(text, "cp1252")) == (text, "restored")
