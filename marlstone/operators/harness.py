@@ -163,6 +163,41 @@ def required_n(power: DataFrame, target: float = 0.8) -> DataFrame:
     return power.groupBy("rate", "odds_ratio").agg(F.min(F.when(F.col("power") >= target, F.col("n"))).alias("required_n"))
 
 
+def bisected_n(spark: SparkSession, rate: float, odds_ratios: list[float], lo: int = 50, hi: int = 20_000, reps: int = 600, target: float = 0.8, steps: int = 12, **options) -> list[tuple[float, int | None]]:
+    """Smallest n between ``lo`` and ``hi`` that reaches the power, by odds ratio; None where ``hi`` does not.
+
+    Bisection on the simulated power; a step is one job over all odds ratios that are still open.
+    """
+
+    def reaches(sizes: dict[float, int]) -> dict[float, bool]:
+        rows = simulated_power(spark, [(n, rate, o) for o, n in sizes.items()], reps, **options).collect()
+        return {r["odds_ratio"]: r["power"] is not None and r["power"] >= target for r in rows}
+
+    ends = reaches({o: hi for o in odds_ratios})
+    bounds = {o: (lo, hi) for o in odds_ratios if ends[o]}
+    for _ in range(steps):
+        middle = {o: (a + b) // 2 for o, (a, b) in bounds.items() if b - a > 1}
+        if not middle:
+            break
+        for o, enough in reaches(middle).items():
+            bounds[o] = (bounds[o][0], middle[o]) if enough else (middle[o], bounds[o][1])
+    return [(o, bounds[o][1] if o in bounds else None) for o in odds_ratios]
+
+
+def smallest_detectable(spark: SparkSession, rate: float, sizes: list[int], grid: list[float], reps: int = 600, target: float = 0.8, at_once: int = 10, **options) -> list[tuple[int, float | None]]:
+    """Smallest odds ratio of the whole ``grid`` that reaches the power, by n; None where none does.
+
+    Searched upward, ``at_once`` odds ratios a job, and for each n only as far as the first that does.
+    """
+    found: dict[int, float | None] = dict.fromkeys(sizes)
+    for k in range(0, len(grid), at_once):
+        cells = [(n, rate, o) for n in sizes if found[n] is None for o in grid[k : k + at_once]]
+        if not cells:
+            break
+        found |= {r["n"]: r["detectable_or"] for r in detectable(simulated_power(spark, cells, reps, **options), target).collect()}
+    return list(found.items())
+
+
 def detectable(power: DataFrame, target: float = 0.8) -> DataFrame:
     """Smallest odds ratio of the grid that reaches the power, by n."""
     return power.groupBy("rate", "n").agg(F.min(F.when(F.col("power") >= target, F.col("odds_ratio"))).alias("detectable_or"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.calendar import week_end
 from marlstone.operators.events import abnormal_returns, decile_events, window_sums
-from marlstone.operators.harness import detectable, permutation_p, required_n, simulated_power, spearman_permutation, walk_forward
+from marlstone.operators.harness import bisected_n, permutation_p, simulated_power, smallest_detectable, spearman_permutation, walk_forward
 from marlstone.operators.joins import trailing_join
 from marlstone.operators.labels import decile_labels, last_value, momentum, recovery_weights, scar_flags, trailing_volatility, weekly
 from marlstone.operators.metrics import metrics
@@ -116,16 +116,23 @@ def h4_weights(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+#: Event rate, rows of one series, replicates and grids of the power analysis.
+RATE, WEEKS, POWER_REPS = 0.0659, 273, 600
+POWER_SIZES = (100, 200, 273, 300, 500, 800, 1000, 1200, 2000, 3000, 5000)
+ODDS_RATIOS = (1.3, 1.5, 1.7, 2.0)
+MDE_GRID = tuple(round(1.1 + 0.1 * k, 1) for k in range(50))
+
+
 def h5_power(spark: SparkSession, d: str) -> DataFrame:
     """Power of the Wald test over a grid of sizes and odds ratios."""
-    return simulated_power(spark, [(n, 0.0659, o) for n in (273, 500, 1000) for o in (1.3, 1.5, 2.0)], reps=100)
+    return simulated_power(spark, [(n, RATE, o) for n in POWER_SIZES for o in ODDS_RATIOS], reps=POWER_REPS)
 
 
 def h6_required(spark: SparkSession, d: str) -> DataFrame:
-    """Smallest size and smallest odds ratio of the grid with 80 % power."""
-    power = durable(h5_power(spark, d))
-    a = required_n(power).select(F.lit("required_n").alias("what"), F.col("odds_ratio").alias("at"), F.col("required_n").cast("double").alias("value"))
-    return a.unionByName(detectable(power).select(F.lit("detectable_or").alias("what"), F.col("n").cast("double").alias("at"), F.col("detectable_or").alias("value")))
+    """Smallest size up to 20,000 with 80 % power, by bisection, and smallest odds ratio of 1.1 to 6.0 that a size detects."""
+    found = [("required_n", o, n) for o, n in bisected_n(spark, RATE, list(ODDS_RATIOS), reps=POWER_REPS)]
+    found += [("detectable_or", n, o) for n, o in smallest_detectable(spark, RATE, [WEEKS, 500, 1000], list(MDE_GRID), reps=POWER_REPS)]
+    return spark.createDataFrame([(what, float(at), None if v is None else float(v)) for what, at, v in found], "what string, at double, value double")
 
 
 def h7_hsieh(spark: SparkSession, d: str) -> DataFrame:

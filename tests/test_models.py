@@ -169,3 +169,16 @@ def test_closed_form_size_equals_published_values(spark):
     p = 18 / 273
     z = 1.959964 + 0.841621
     assert [round(z * z / (p * (1 - p) * math.log(o) ** 2)) for o in (1.3, 1.5, 1.7, 2.0)] == [1851, 775, 453, 265]
+
+
+def test_required_size_and_odds_ratio(spark):
+    from marlstone.operators.harness import bisected_n, smallest_detectable
+    from marlstone.plans import inference as I
+
+    closed = lambda o: (1.959964 + 0.841621) ** 2 / (0.0659 * (1 - 0.0659) * math.log(o) ** 2)
+    for o, n in bisected_n(spark, 0.0659, [1.3, 2.0], hi=5000, reps=150):
+        assert n == pytest.approx(closed(o), rel=0.3)
+    assert bisected_n(spark, 0.0659, [1.05], hi=400, reps=50) == [(1.05, None)]
+    assert 1.8 <= dict(smallest_detectable(spark, 0.0659, [273], list(I.MDE_GRID), reps=100))[273] <= 2.4
+    assert smallest_detectable(spark, 0.0659, [60], [1.1, 1.2], reps=50) == [(60, None)]
+    assert I.POWER_REPS == 600 and I.MDE_GRID[0] == 1.1 and I.MDE_GRID[-1] == 6.0 and len(I.MDE_GRID) == 50 and set(I.ODDS_RATIOS) == {1.3, 1.5, 1.7, 2.0}
