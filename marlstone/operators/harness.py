@@ -65,6 +65,32 @@ def walk_forward(df: DataFrame, key: str, week: str, specs: dict[str, list[str]]
     return use.groupBy(key, "spec", "half_life", "__block").applyInPandas(run, schema)
 
 
+def in_sample(df: DataFrame, key: str, week: str, specs: dict[str, list[str]], tail: float = 0.10) -> DataFrame:
+    """Scores of the walk-forward model on its own rows: ``key``, ``spec``, ``week``, ``y``, ``p``.
+
+    Per key and spec one L2 logit on all rows without any NULL in a feature of any spec; the tail
+    threshold and the moments are of the whole sample. This looks ahead: it measures optimism only.
+    """
+    features = sorted({c for cols in specs.values() for c in cols})
+    kinds = dict(df.dtypes)
+    use = df.select(key, week, "ret_1w", "ret_1w_fwd", F.col("scar").cast("int").alias("scar"), *features).na.drop()
+    names = [key, "spec", week, "y", "p"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(week)
+        y = ((pdf["ret_1w_fwd"] <= np.quantile(pdf["ret_1w"], tail)) & (pdf["scar"] > 0)).to_numpy(dtype=float)
+        if y.sum() in (0, len(y)):
+            return pd.DataFrame(columns=names)
+        parts = []
+        for spec, cols in specs.items():
+            x = K.with_constant(K.zscore(pdf[cols].to_numpy(dtype=float)))
+            p = K.sigmoid(x @ K.fit_logit(x, y, ridge=1.0)[0])
+            parts.append(pdf[[key, week]].assign(spec=spec, y=y.astype(int), p=p)[names])
+        return pd.concat(parts)
+
+    return use.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, spec string, {week} {kinds[week]}, y int, p double")
+
+
 def permutation_p(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], replicates: int = 200, block: int = 1, seed: int = 3, firth: bool = True) -> DataFrame:
     """Permutation p of the first feature's coefficient per key, (c + 1) / (B + 1).
 

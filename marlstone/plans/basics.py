@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.scorers import lexicon_model, model_score
 from marlstone.functions.text import LEXICON
+from marlstone.operators.harness import in_sample, walk_forward
 from marlstone.operators.joins import asof_forward
 from marlstone.operators.metrics import metrics
 from marlstone.operators.windows import along, log_return
-from marlstone.plans.inference import SPECS, features, h1_walk_forward
+from marlstone.plans.inference import SPECS, features
 from marlstone.plans.relational import _VALUES, _WORDS
 from marlstone.plans.series import PX, R6, RET, SENT, prices, r6, returns, sentiment
 from marlstone.session import durable
@@ -101,16 +102,11 @@ def x3_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 def v9_optimism(spark: SparkSession, d: str) -> DataFrame:
-    """AUC within the sample, by scores of its own best single feature, against the walk-forward one, by spec."""
-    oos = metrics(durable(h1_walk_forward(spark, d)).filter("half_life = 104"), ["spec"]).select("spec", F.col("auc").alias("auc_forward"))
+    """AUC of each spec's model on the rows it was fitted to, against the walk-forward one (half-life 104), by spec."""
     x = durable(features(spark, d))
-    inside = None
-    for spec, columns in SPECS.items():
-        whole = Window.partitionBy("asset")
-        m = metrics(x.select(F.lit(spec).alias("spec"), F.col("extreme_down").alias("y"), ((F.col(columns[0]) - F.avg(columns[0]).over(whole)) / F.stddev_pop(columns[0]).over(whole)).alias("p")), ["spec"])
-        inside = m if inside is None else inside.unionByName(m)
-    j = inside.select("spec", F.greatest(F.col("auc"), 1 - F.col("auc")).alias("auc_inside")).join(oos, "spec")
-    return j.withColumn("optimism", F.col("auc_inside") - F.col("auc_forward"))
+    forward = metrics(durable(walk_forward(x, "asset", "week", SPECS, (104.0,))), ["spec"]).select("spec", F.col("auc").alias("auc_forward"))
+    inside = metrics(in_sample(x, "asset", "week", SPECS), ["spec"]).select("spec", F.col("auc").alias("auc_inside"))
+    return inside.join(forward, "spec").withColumn("optimism", F.col("auc_inside") - F.col("auc_forward"))
 
 
 def v10_pilot(spark: SparkSession, d: str) -> DataFrame:

@@ -182,3 +182,22 @@ def test_required_size_and_odds_ratio(spark):
     assert 1.8 <= dict(smallest_detectable(spark, 0.0659, [273], list(I.MDE_GRID), reps=100))[273] <= 2.4
     assert smallest_detectable(spark, 0.0659, [60], [1.1, 1.2], reps=50) == [(60, None)]
     assert I.POWER_REPS == 600 and I.MDE_GRID[0] == 1.1 and I.MDE_GRID[-1] == 6.0 and len(I.MDE_GRID) == 50 and set(I.ODDS_RATIOS) == {1.3, 1.5, 1.7, 2.0}
+
+
+def test_in_sample_fits_every_feature_of_the_spec(spark):
+    from marlstone.operators.harness import in_sample
+
+    rng = np.random.default_rng(4)
+    n = 300
+    x = rng.standard_normal((n, 2))
+    r = rng.standard_normal(n)
+    fwd = -1.5 * x[:, 1] + 0.3 * rng.standard_normal(n)
+    rows = pd.DataFrame({"a": "k", "week": pd.date_range("2020-01-03", periods=n, freq="7D").date, "ret_1w": r, "ret_1w_fwd": fwd, "scar": True, "u": x[:, 0], "v": x[:, 1]})
+    got = in_sample(spark.createDataFrame(rows), "a", "week", {"both": ["u", "v"], "first": ["u"]}).toPandas()
+    y = (fwd <= np.quantile(r, 0.1)).astype(float)
+    for spec, cols in (("both", [0, 1]), ("first", [0])):
+        d = K.with_constant(K.zscore(x[:, cols]))
+        g = got[got.spec == spec].sort_values("week")
+        assert (g.y == y).all() and np.allclose(g.p, K.sigmoid(d @ K.fit_logit(d, y, ridge=1.0)[0]))
+    auc = {s: K.auc(g.y.to_numpy(), g.p.to_numpy()) for s, g in got.groupby("spec")}
+    assert auc["both"] > 0.9 > auc["first"] + 0.2
