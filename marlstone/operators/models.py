@@ -193,7 +193,7 @@ def evt_labels(df: DataFrame, keys: list[str], day: str, x: str, threshold: floa
     return df.select(*keys, day, F.col(x).cast("double").alias(x)).na.drop().groupBy(*keys).applyInPandas(label, schema)
 
 
-def boosted_against_logit(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], split: float = 0.7, least_rows: int = 60) -> DataFrame:
+def boosted_against_logit(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], split: float = 0.7, least_rows: int = 60, rounds: int = 100) -> DataFrame:
     """Out-of-sample AUC of boosted trees and of a logit per key, on the last part of the rows in time order."""
     kinds = dict(df.dtypes)
 
@@ -206,7 +206,7 @@ def boosted_against_logit(df: DataFrame, keys: list[str], order: str, y: str, x:
             return pd.DataFrame(columns=[*keys, "n", "auc_trees", "auc_logit"])
         xa, xb = a[x].to_numpy(dtype=float), b[x].to_numpy(dtype=float)
         mean, sd = xa.mean(axis=0), xa.std(axis=0)
-        trees = K.predict_trees(K.grow_trees(xa, ya), xb)
+        trees = K.predict_trees(K.grow_trees(xa, ya, rounds=rounds), xb)
         beta = K.fit_logit(K.with_constant(K.zscore(xa, mean, sd)), ya, ridge=1e-6)[0]
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], len(pdf), K.auc(yb, trees), K.auc(yb, K.with_constant(K.zscore(xb, mean, sd)) @ beta)]], columns=[*keys, "n", "auc_trees", "auc_logit"])
 

@@ -49,12 +49,12 @@ def m4_firth(spark: SparkSession, d: str) -> DataFrame:
 
 def m6_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Label permutation p by asset."""
-    return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=100)
+    return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=5000)
 
 
 def m7_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The same, shuffling blocks of eight weeks."""
-    return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=100, block=8)
+    return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=3000, block=8)
 
 
 def m8_interaction(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,7 @@ def m11_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m12_boosted(spark: SparkSession, d: str) -> DataFrame:
-    return boosted_against_logit(features(spark, d), ["asset"], "week", "extreme_up", ["rwdv", "semidev", "mom"])
+    return boosted_against_logit(features(spark, d), ["asset"], "week", "extreme_up", ["rwdv", "semidev", "mom"], rounds=300)
 
 
 def m13_spearman(spark: SparkSession, d: str) -> DataFrame:
@@ -90,7 +90,7 @@ def m13_spearman(spark: SparkSession, d: str) -> DataFrame:
     x = durable(assets(spark, d))
     cars = window_sums(abnormal_returns(decile_events(x, "asset"), x, "asset"), "asset").filter("window = 'full'").select("asset", "sign", "ev_date", "car")
     before = trailing_join(cars, x.select("asset", "d", "r"), ["asset"], "ev_date", "d", 28, [F.avg("r").alias("before")])
-    return spearman_permutation(before, ["sign"], "before", "car")
+    return spearman_permutation(before, ["sign"], "before", "car", replicates=20_000)
 
 
 def d12_evt(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +101,7 @@ def d12_evt(spark: SparkSession, d: str) -> DataFrame:
 
 def h1_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """One-step-ahead predictions for all specs and half-lives (H1 to H3)."""
-    return walk_forward(features(spark, d), "asset", "week", SPECS, (52.0, 104.0, 1e9))
+    return walk_forward(features(spark, d), "asset", "week", SPECS, (26.0, 52.0, 104.0, 208.0, 1e9))
 
 
 def h1_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -63,7 +63,7 @@ def e5_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e9_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap_means(window_sums(_ar(spark, d), "asset").select("asset", "sign", "ev_date", "window", "car"), ["sign", "window"])
+    return bootstrap_means(window_sums(_ar(spark, d), "asset").select("asset", "sign", "ev_date", "window", "car"), ["sign", "window"], replicates=10_000)
 
 
 def e10_agreement(spark: SparkSession, d: str) -> DataFrame:

@@ -201,3 +201,32 @@ def test_in_sample_fits_every_feature_of_the_spec(spark):
         assert (g.y == y).all() and np.allclose(g.p, K.sigmoid(d @ K.fit_logit(d, y, ridge=1.0)[0]))
     auc = {s: K.auc(g.y.to_numpy(), g.p.to_numpy()) for s, g in got.groupby("spec")}
     assert auc["both"] > 0.9 > auc["first"] + 0.2
+
+
+def test_registered_counts_are_the_references(monkeypatch):
+    from marlstone.plans import inference as I
+    from marlstone.plans import study
+
+    asked = {}
+    for module, name in ((I, "permutation_p"), (I, "spearman_permutation"), (I, "boosted_against_logit"), (I, "walk_forward"), (study, "bootstrap_means")):
+        monkeypatch.setattr(module, name, lambda *a, name=name, **k: asked.setdefault((name, k.get("block")), (a, k)))
+    for module in (I, study):
+        for name in ("features", "assets", "durable", "decile_events", "abnormal_returns", "window_sums", "trailing_join", "_ar"):
+            if hasattr(module, name):
+                monkeypatch.setattr(module, name, lambda *a, **k: Any())
+    monkeypatch.setattr(I, "F", Any())
+    for query in (I.m6_permutation, I.m7_blocks, I.m12_boosted, I.m13_spearman, I.h1_walk_forward, study.e9_bootstrap):
+        query(None, "")
+    assert asked["permutation_p", None][1]["replicates"] == 5000 and asked["permutation_p", 8][1]["replicates"] == 3000
+    assert asked["spearman_permutation", None][1]["replicates"] == 20_000 and asked["boosted_against_logit", None][1]["rounds"] == 300
+    assert asked["bootstrap_means", None][1]["replicates"] == 10_000 and asked["walk_forward", None][0][4] == (26.0, 52.0, 104.0, 208.0, 1e9)
+
+
+class Any:
+    """Stands for any table or column."""
+
+    def __getattr__(self, name):
+        return self
+
+    def __call__(self, *a, **k):
+        return self
