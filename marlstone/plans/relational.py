@@ -42,6 +42,12 @@ def s9_json(spark: SparkSession, d: str) -> DataFrame:
     return news_articles(a.select("doc_id", F.to_json("s").alias("json")), "json").select("doc_id", "day", "source", "headline")
 
 
+def s9_articles(spark: SparkSession, d: str) -> DataFrame:
+    """The same with whole texts as titles, so that line breaks, quotes and escapes pass the parser."""
+    a = table(spark, d, "documents").select("doc_id", F.struct(F.array(F.struct(F.date_format("published", "yyyyMMdd'T'HHmmss'Z'").alias("seendate"), F.col("source").alias("domain"), F.lit("u").alias("url"), F.col("text").alias("title"))).alias("articles")).alias("s"))
+    return news_articles(a.select("doc_id", F.to_json("s").alias("json")), "json").select("doc_id", "day", "source", "headline")
+
+
 def s9_props(spark: SparkSession, d: str) -> DataFrame:
     """Fields of the JSON column of events."""
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).alias("fields"))
@@ -223,7 +229,7 @@ def f1_scalars(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    s1_csv, s2_optional, s3_first_tab, s9_json, s9_props, s10_rss, s11_meta, j1_month, j3_cache, j6_outer, j8_asof, j9_trailing, j10_positional,
+    s1_csv, s2_optional, s3_first_tab, s9_json, s9_articles, s9_props, s10_rss, s11_meta, j1_month, j3_cache, j6_outer, j8_asof, j9_trailing, j10_positional,
     a1_monthly, a2_weekly, a3_coin_weekly, a4_counts, a5_quantiles, a8_nulls, a10_corr, a14_density, o5_cap, o6_first, u1_union, x4_texts, x1_scores, q12_codes, f14_zscore, f1_scalars,
 )}
 _WORDS = "|".join(sorted(LEXICON))
@@ -246,6 +252,7 @@ SQL = {
     "s2_optional": "SELECT article_id, coalesce(headline, '') AS headline, '' AS summary FROM articles_scraped",
     "s3_first_tab": r"SELECT line_id, CASE WHEN contains(line, chr(9)) THEN split_part(line, chr(9), 1) END AS date, CASE WHEN contains(line, chr(9)) THEN substr(line, strpos(line, chr(9)) + 1) ELSE line END AS text FROM articles_raw WHERE trim(line) <> ''",
     "s9_json": "SELECT doc_id, published AS day, source, trim(left(text, 40)) AS headline FROM documents WHERE published IS NOT NULL AND trim(left(text, 40)) <> ''",
+    "s9_articles": "SELECT doc_id, published AS day, source, trim(text) AS headline FROM documents WHERE published IS NOT NULL AND trim(text) <> ''",
     "s9_props": "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(len(json_keys(props)) AS INTEGER) AS fields FROM events",
     "s10_rss": "SELECT p_partkey, p_name AS title, 'http://x.example/' || p_partkey AS link, p_type AS snippet, '2024' AS published FROM part",
     "s11_meta": "SELECT p_partkey, p_name AS description FROM part",
