@@ -321,7 +321,7 @@ def _apply(text: str, spans: list[tuple[int, int, str]]) -> str:
 _W = "À-ÿĀ-ſƒˆ˜–—‘’‚“”„†‡•…‰‹›€™"
 _SUSPECT = re.compile(
     "[\x80-\x9f�─-▟∂∏∑√∞∫≈≠≤≥◊⌐ﬁﬂ¤¦¨¬¯´¶¸ªƒˆˇ˜˘˙˚˝˛‡†‰‚ÿìòÈÒÛÙÎÏËÌ]"
-    f"|(?!ç[ãõ]|Ç[ÃÕ]|ŁÓ|[Łł]ó|öß|……|’[à-öø-ÿÀ-ÖØ-Þ]|[“”»«][—“”«»€])[{_W}][¡-¿{_W}]|[a-z][À-ÖØ-Þ„¡-ª¬-º¼-¿Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-zÀ-ÿ]|(?:^| )[ìíîóÖñòÄ](?: |\\d|$)|–[A-Za-z]|[A-Za-z]–"
+    f"|(?!ç[ãõ]|Ç[ÃÕ]|ŁÓ|[Łł]ó|öß|……|’[à-öø-ÿÀ-ÖØ-Þ]|[“”»«][—“”«»€])[{_W}][¡-¿{_W}]|[a-z][À-ÖØ-Þ„¡-ª¬-º¼-¿Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-zÀ-ÿ]|(?:^| )[ìíîóÖñòÄ](?: |\\d|$)|–[A-Za-z]|[A-Za-z]–|[A-Za-z][“”][a-z]"
     "|[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї]|[Ѐ-ӿ][¡-ª¬-º¼-¿]|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[¡-¿ÃÂÐÑØÙàãåäèéæçÎÏ][\u00a0-¿]"
 )
 _WIDE_SUSPECT = re.compile("[一-鿿｡-ﾟ]")
@@ -422,7 +422,7 @@ def western_cost(text: str) -> float:
         elif _script(c) == "latin" and c.isalpha():
             if c.isupper():
                 caps = a.isupper() or b.isupper()
-                cost += 2 if a.islower() else 1.2 if b.isdigit() else 0.1 if caps and c in _INITIALS | set("ÃÕÍÚÔÎÈ") else 0.2 if c in _INITIALS and b not in _SPACE or c in _WORDS_OF_ONE else 1.2
+                cost += 2 if a.islower() else 1.2 if b.isdigit() or a.isupper() and b.islower() else 0.1 if caps and c in _INITIALS | set("ÃÕÍÚÔÎÈ") else 0.2 if c in _INITIALS and b not in _SPACE or c in _WORDS_OF_ONE else 1.2
             elif a in _SPACE and b in _SPACE or b.isdigit():
                 cost += 0.1 if c in _WORDS_OF_ONE else 1.2
             else:

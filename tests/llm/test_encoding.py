@@ -2,7 +2,7 @@
 
 import pytest
 
-from marlstone.llm.encoding import repair, repair_values, utf8_spans
+from marlstone.llm.encoding import SWAPS, repair, repair_values, utf8_spans
 
 SOUND = [
     None, "", "plain", "Gebühren für Wukek sinken kräftig", "NÃO É HORA de vender, diz gestão de Łódka Pool", "¿Se acabó la caída de Bonax?", "L’âge d’or est-il terminé ?", "« Le pont est sûr. »", "“Nothing was lost”: Zürnberg — first take", "Größere Käufer", "€5.2m ±0.5",
@@ -73,6 +73,23 @@ def test_stretch_after_a_lost_byte():
     assert repair("�傝祫閲戞病鏈夌Щ鍔ㄣ�") == ("��资金没有移动��", "partial")
 
 
+#: Text whose only letter outside ASCII reads as an odd one, by pair of SWAPS.
+SINGLE = {
+    ("mac_roman", "cp1252"): "hôtel de ville", ("cp1252", "mac_roman"): "mañana vuelve", ("cp1252", "cp437"): "hôtel de ville", ("cp1252", "cp850"): "schön und gut", ("cp437", "cp1252"): "café noir", ("cp850", "cp1252"): "hôtel de ville", ("cp1251", "cp1252"): "hôtel de ville", ("koi8_r", "cp1252"): "Stadt Köln", ("cp1253", "cp1252"): "mañana vuelve",
+}
+
+
+@pytest.mark.parametrize("pair", SINGLE)
+def test_one_damaged_letter(pair):
+    assert pair in SWAPS and repair(SINGLE[pair].encode(pair[1]).decode(pair[0])) == (SINGLE[pair], "restored")
+
+
+def test_quote_inside_a_word():
+    for text in ("hôtel", "Stadt Köln", "schön"):
+        for codec in ("cp437", "cp850"):
+            assert repair(text.encode(codec).decode("cp1252")) == (text, "restored")
+
+
 def test_long_text():
     text = "Gebühren sinken. " * 20_000
     assert repair(misread(text, "cp1252")) == (text, "restored")
