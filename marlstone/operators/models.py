@@ -44,6 +44,32 @@ def grouped_logit(df: DataFrame, keys: list[str], y: str, x: list[str], firth: b
     return df.select(*keys, y, *x).na.drop().groupBy(*keys).applyInPandas(fit, schema)
 
 
+def split_logit(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], split: str, least_events: int = 3) -> DataFrame:
+    """AUC per key after a date of a logit fitted to the rows up to it, both ends included: n_train, events_train, n_test, events_test, auc.
+
+    Features are scaled by the training rows' moments. Keys with fewer training events, no training
+    non-event or one class only after the date give no row.
+    """
+    kinds = dict(df.dtypes)
+    names = [*keys, "n_train", "events_train", "n_test", "events_test", "auc"]
+    day = pd.Timestamp(split)
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        when = pd.to_datetime(pdf[order])
+        a, b = pdf[when <= day], pdf[when >= day]
+        ya, yb = a[y].to_numpy(dtype=float), b[y].to_numpy(dtype=float)
+        if ya.sum() < least_events or ya.sum() == len(ya) or yb.sum() in (0, len(yb)):
+            return pd.DataFrame(columns=names)
+        xa, xb = a[x].to_numpy(dtype=float), b[x].to_numpy(dtype=float)
+        mean, sd = xa.mean(axis=0), xa.std(axis=0)
+        beta = K.fit_logit(K.with_constant(K.zscore(xa, mean, sd)), ya)[0]
+        score = K.auc(yb, K.with_constant(K.zscore(xb, mean, sd)) @ beta)
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], len(a), int(ya.sum()), len(b), int(yb.sum()), score]], columns=names)
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n_train bigint", "events_train bigint", "n_test bigint", "events_test bigint", "auc double"])
+    return df.select(*keys, order, y, *x).na.drop().groupBy(*keys).applyInPandas(fit, schema)
+
+
 def _moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
     row = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)]).collect()[0]
     n = len(columns)

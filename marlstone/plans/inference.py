@@ -11,7 +11,7 @@ from marlstone.operators.harness import bisected_n, permutation_p, simulated_pow
 from marlstone.operators.joins import trailing_join
 from marlstone.operators.labels import decile_labels, last_value, momentum, recovery_weights, scar_flags, trailing_volatility, weekly
 from marlstone.operators.metrics import metrics
-from marlstone.operators.models import boosted_against_logit, evt_labels, grouped_logit, grouped_quantiles, pooled_logit
+from marlstone.operators.models import boosted_against_logit, evt_labels, grouped_logit, grouped_quantiles, pooled_logit, split_logit
 from marlstone.operators.windows import along, running_sum
 from marlstone.plans.prepare import settled
 from marlstone.plans.series import R6, RET, r6, returns
@@ -37,11 +37,16 @@ def m1_logit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m3_split(spark: SparkSession, d: str) -> DataFrame:
-    """Logit before and from 1998 on."""
+    """Logit before and from 1998 on, each in sample."""
     x = features(spark, d).withColumn("regime", F.when(F.col("week") < "1998-01-01", "early").otherwise("late"))
     return grouped_logit(x, ["regime"], "extreme_down", ["rwdv", "mom"])
 
 
+def m3_after(spark: SparkSession, d: str) -> DataFrame:
+    """AUC from 1998 on of each asset's logit trained before (M3)."""
+    return split_logit(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], "1998-01-01")
+
+
 def m4_firth(spark: SparkSession, d: str) -> DataFrame:
     """Penalised logit by asset with likelihood-ratio p (M4, M5)."""
     return grouped_logit(features(spark, d), ["asset"], "extreme_down", ["rwdv", "mom"], firth=True)
@@ -148,7 +153,7 @@ def k3_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return m9_panel(spark, d).withColumn("excludes_one", (F.col("lo") > 1) | (F.col("hi") < 1)).select("feature", "excludes_one", settled(F.col("odds_ratio")).alias("odds_ratio"))
 
 
-QUERIES = {f.__name__: f for f in (m1_logit, m3_split, m4_firth, m6_permutation, m7_blocks, m8_interaction, m9_panel, m10_ridge, m11_quantiles, m12_boosted, m13_spearman, d12_evt, h1_walk_forward, h1_scores, h4_weights, h5_power, h6_required, h7_hsieh, k3_verdicts)}
+QUERIES = {f.__name__: f for f in (m1_logit, m3_split, m3_after, m4_firth, m6_permutation, m7_blocks, m8_interaction, m9_panel, m10_ridge, m11_quantiles, m12_boosted, m13_spearman, d12_evt, h1_walk_forward, h1_scores, h4_weights, h5_power, h6_required, h7_hsieh, k3_verdicts)}
 
 
 SQL = {

@@ -222,6 +222,24 @@ def test_registered_counts_are_the_references(monkeypatch):
     assert asked["bootstrap_means", None][1]["replicates"] == 10_000 and asked["walk_forward", None][0][4] == (26.0, 52.0, 104.0, 208.0, 1e9)
 
 
+def test_split_trains_before_and_scores_after(spark, folder):
+    from marlstone.operators.models import split_logit
+    from marlstone.plans.inference import QUERIES
+
+    x, y = data(7)
+    weeks = pd.date_range("2020-01-03", periods=len(y), freq="7D")
+    y[300:] = data(8)[1][:100]
+    rows = pd.DataFrame({"k": "a", "week": weeks.date, "y": y.astype(int), "u": x[:, 0], "v": x[:, 1] * np.where(np.arange(len(y)) < 300, 1, 40)})
+    got = split_logit(spark.createDataFrame(rows), ["k"], "week", "y", ["u", "v"], str(weeks[299].date())).collect()[0]
+    a = rows[["u", "v"]].to_numpy()
+    mean, sd = a[:300].mean(axis=0), a[:300].std(axis=0)
+    beta = K.fit_logit(K.with_constant((a[:300] - mean) / sd), y[:300])[0]
+    assert (got.n_train, got.n_test, got.events_train) == (300, 101, int(y[:300].sum()))
+    assert got.auc == pytest.approx(K.auc(y[299:], K.with_constant((a[299:] - mean) / sd) @ beta))
+    assert split_logit(spark.createDataFrame(rows), ["k"], "week", "y", ["u", "v"], "2019-01-01").count() == 0
+    assert "m3_after" in QUERIES
+
+
 class Any:
     """Stands for any table or column."""
 
