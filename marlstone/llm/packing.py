@@ -62,12 +62,13 @@ def dot_product_pack(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return bins
 
 
-def items_of(df: DataFrame, key: str, text: str, capacities: DataFrame, tokenizer: str | None = None, max_loss: float = 1.0) -> DataFrame:
+def items_of(df: DataFrame, key: str, text: str, capacities: DataFrame, tokenizer: str | None = None, max_loss: float = 1.0, keep_whole: bool = False) -> DataFrame:
     """Sized items per capacity: ``capacity_id``, ``capacity``, ``key``, ``piece``, ``tokens``, ``loss``.
 
     A text's first paragraph, if more follows, is its prompt and bears no loss; without one all
     tokens do. A text that exceeds the capacity in tokens or ``max_loss`` x capacity in loss-bearing
-    ones is cut into pieces of the smaller of the two and a rest; every other text is one item. NULL
+    ones is cut into pieces of the smaller of the two and a rest; every other text is one item.
+    ``keep_whole`` cuts only texts that exceed the capacity, and keeps the rest whole whatever loss they bear. NULL
     and empty texts take no room and give no item; capacities that are NULL or not positive hold nothing.
     """
     head = F.regexp_extract(F.col(text), r"^([^\n]+\n\s*\n)", 1)
@@ -76,7 +77,9 @@ def items_of(df: DataFrame, key: str, text: str, capacities: DataFrame, tokenize
     caps = capacities.filter("capacity_tokens > 0").groupBy("capacity_id").agg(F.min("capacity_tokens").alias("capacity"))
     both = sized.select("*", F.explode(caps_array(caps)).alias("__c")).select("*", F.col("__c.capacity_id"), F.col("__c.capacity"))
     loss_limit = F.greatest(F.lit(1), F.floor(F.col("capacity") * max_loss)).cast("int")
-    over = (F.col("__n") > F.col("capacity")) | (F.col("__n") - F.least("__p", "__n") > loss_limit)
+    over = F.col("__n") > F.col("capacity")
+    if not keep_whole:
+        over = over | (F.col("__n") - F.least("__p", "__n") > loss_limit)
     both = both.withColumn("__size", F.when(over, F.least("capacity", loss_limit)).otherwise(F.col("__n")))
     pieces = both.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("__n") - 1) / F.col("__size")).cast("int"))).alias("piece"))
     start = F.col("piece") * F.col("__size")
@@ -111,11 +114,12 @@ def _pack_round(items: DataFrame, shard: Column, limits: dict[str, Column], firs
     return d.groupBy("capacity_id", "__shard").applyInPandas(pack, schema)
 
 
-def pack_documents(df: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str = "text", max_segments: int | None = None, max_loss: float = 1.0, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(df: DataFrame, capacities: DataFrame, key: str = "doc_id", text: str = "text", max_segments: int | None = None, max_loss: float = 1.0, tokenizer: str | None = None, keep_whole: bool = False) -> DataFrame:
     """Texts into containers of each capacity: ``capacity_id``, ``bin``, ``key``, ``piece``, ``tokens``, ``loss``.
 
     A container holds at most the capacity in tokens, ``max_segments`` items (default: one per 16
-    tokens of capacity) and ``max_loss`` x capacity loss-bearing tokens (1, the default, never binds). No text is split unless it alone exceeds a limit (see ``items_of``).
+    tokens of capacity) and ``max_loss`` x capacity loss-bearing tokens (1, the default, never binds). No text is split unless it alone exceeds a limit (see ``items_of``);
+    with ``keep_whole`` only if it exceeds the capacity, and one that exceeds the loss limit alone has a container for itself.
 
     Items are spread at random over shards of about SHARD_ITEMS and packed there by
     ``dot_product_pack``; a shard's last, poorly filled containers are then emptied and their items
@@ -123,7 +127,7 @@ def pack_documents(df: DataFrame, capacities: DataFrame, key: str = "doc_id", te
     """
     if not 0 < max_loss <= 1:
         raise ValueError("max_loss is a share of the capacity")
-    items = durable(items_of(df, key, text, capacities, tokenizer, max_loss))
+    items = durable(items_of(df, key, text, capacities, tokenizer, max_loss, keep_whole))
     limits = {"__segments": F.lit(max_segments) if max_segments else F.greatest(F.lit(1), F.floor(F.col("capacity") / 16)), "__loss": F.greatest(F.lit(1), F.floor(F.col("capacity") * max_loss))}
     shards = lambda n: max(1, -(-n // SHARD_ITEMS))
     per_capacity = max([r["count"] for r in items.groupBy("capacity_id").count().collect()] or [0])

@@ -101,3 +101,28 @@ def test_mix_repeats_and_edges(spark):
     assert rep["big"].documents == 301 and rep["big"].most_repeats == 1 and rep["small"].most_repeats == 3
     chosen, report = mix_sources(docs.limit(0), targets)
     assert chosen.count() == 0 and {r.tokens for r in report.collect()} == {0}
+
+
+def test_binding_limits_keep_texts_whole(spark, folder):
+    from collections import defaultdict
+
+    from marlstone.llm.queries import p7_limits
+
+    capacity = {r.capacity_id: r.capacity_tokens for r in table(spark, folder, "pack_capacity").filter("capacity_tokens > 0").collect()}
+    size, bins, bound = defaultdict(int), defaultdict(list), 0
+    rows = p7_limits(spark, folder).collect()
+    for r in rows:
+        size[r.capacity_id, r.doc_id] += r.tokens
+        bins[r.capacity_id, r.bin].append(r)
+    pieces = defaultdict(int)
+    for r in rows:
+        pieces[r.capacity_id, r.doc_id] += 1
+    ids = [r.doc_id for r in table(spark, folder, "documents").select("doc_id").collect()]
+    twice = {i for i in ids if ids.count(i) > 1} if len(ids) < 2000 else set()
+    assert all(n == 1 for (c, doc), n in pieces.items() if doc not in twice and size[c, doc] <= capacity[c])
+    for (c, _), b in bins.items():
+        limit = max(1, int(capacity[c] * 0.8))
+        loss = sum(r.loss for r in b)
+        assert sum(r.tokens for r in b) <= capacity[c] and len(b) <= 8 and (loss <= limit or len(b) == 1)
+        bound += loss > limit
+    assert bound
