@@ -21,8 +21,8 @@ WINDOWS = {"full": (-10, 10), "before": (-10, -1), "day": (0, 0), "after": (1, 1
 def decile_events(returns: DataFrame, key: str, day: str = "d", r: str = "r", q: float = 0.10, gap_days: int = 30, kind: str = "simple") -> DataFrame:
     """``key``, ``sign``, ``ev_date``, ``week_ret``: the worst and best weeks' deciles, nearby ones merged.
 
-    Weekly returns compound ``1 + r`` (``kind="simple"``) or sum logs (``"log"``). Of a run of extreme
-    weeks no more than ``gap_days`` apart the most extreme one stays, the earlier of equals.
+    Weekly returns compound ``1 + r`` (``kind="simple"``) or sum logs (``"log"``). Of a run of tail
+    weeks no more than ``gap_days`` apart the outermost one stays, the earlier of equals.
     """
     agg = F.exp(F.sum(F.log1p(r))) - 1 if kind == "simple" else F.exp(F.sum(r)) - 1
     w = weekly(returns, {"week_ret": agg}, key, day).withColumn("week_ret", F.coalesce("week_ret", F.lit(0.0)))

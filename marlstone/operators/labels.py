@@ -1,4 +1,4 @@
-"""Weekly frames, recovery-weighted volatility and labels of extreme and slow-to-recover moves."""
+"""Weekly frames, recovery-weighted volatility and labels of tail and slow-to-recover moves."""
 
 from __future__ import annotations
 
@@ -79,7 +79,7 @@ def scar_flags(df: DataFrame, key: str = "coin", day: str = "d", level: str = "l
 
 
 def decile_labels(flags: DataFrame, key: str = "coin", tail: float = 0.10) -> DataFrame:
-    """Add ``extreme_down`` (tail and scar), ``extreme_up`` and ``cand_down`` by the key's own exact quantiles.
+    """Add ``tail_down`` (tail and scar), ``tail_up`` and ``cand_down`` by the key's own exact quantiles.
 
     The quantiles are over all weeks of the key, its last one included.
     """
@@ -87,7 +87,7 @@ def decile_labels(flags: DataFrame, key: str = "coin", tail: float = 0.10) -> Da
     cuts = flags.select(key, F.col("ret_1w").alias("x")).unionByName(last).groupBy(key).agg(F.percentile("x", F.lit(tail)).alias("__lo"), F.percentile("x", F.lit(1 - tail)).alias("__hi"))
     d = flags.join(cuts, key)
     down = F.col("ret_1w_fwd") <= F.col("__lo")
-    return d.select(*flags.columns, (down & F.col("scar")).cast("int").alias("extreme_down"), (F.col("ret_1w_fwd") >= F.col("__hi")).cast("int").alias("extreme_up"), down.cast("int").alias("cand_down"))
+    return d.select(*flags.columns, (down & F.col("scar")).cast("int").alias("tail_down"), (F.col("ret_1w_fwd") >= F.col("__hi")).cast("int").alias("tail_up"), down.cast("int").alias("cand_down"))
 
 
 def monthly_forward(df: DataFrame, key: str = "coin", day: str = "d", n: int = 63) -> DataFrame:
@@ -98,12 +98,12 @@ def monthly_forward(df: DataFrame, key: str = "coin", day: str = "d", n: int = 6
     return d.groupBy(key, F.last_day(day).alias("month_end")).agg(last_value("__f", day).alias("forward_return")).filter(F.col("forward_return").isNotNull())
 
 
-def extreme_labels(df: DataFrame, x: str, key: str = "coin", method: str = "quantile", tail: float = 0.06, z: float = 2.0) -> DataFrame:
-    """Add ``forward_zscore`` and ``extreme_label`` in {-1, 0, 1}, by ``quantile`` (inclusive) or ``global_z`` (strict)."""
+def tail_labels(df: DataFrame, x: str, key: str = "coin", method: str = "quantile", tail: float = 0.06, z: float = 2.0) -> DataFrame:
+    """Add ``forward_zscore`` and ``tail_label`` in {-1, 0, 1}, by ``quantile`` (inclusive) or ``global_z`` (strict)."""
     stats = df.groupBy(key).agg(F.avg(x).alias("__mu"), F.stddev_samp(x).alias("__sd"), F.percentile(x, F.lit(tail)).alias("__lo"), F.percentile(x, F.lit(1 - tail)).alias("__hi"))
     d = df.join(stats, key).withColumn("forward_zscore", (F.col(x) - F.col("__mu")) / F.when(F.col("__sd") > 0, F.col("__sd")))
     up, down = {"quantile": (F.col(x) >= F.col("__hi"), F.col(x) <= F.col("__lo")), "global_z": (F.col("forward_zscore") > z, F.col("forward_zscore") < -z)}[method]
-    return d.withColumn("extreme_label", F.when(up, 1).when(down, -1).otherwise(0)).drop("__mu", "__sd", "__lo", "__hi")
+    return d.withColumn("tail_label", F.when(up, 1).when(down, -1).otherwise(0)).drop("__mu", "__sd", "__lo", "__hi")
 
 
 def momentum(df: DataFrame, key: str = "coin", day: str = "d", n: int = 20) -> DataFrame:

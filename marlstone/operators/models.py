@@ -213,9 +213,9 @@ def evt_labels(df: DataFrame, keys: list[str], day: str, x: str, threshold: floa
             if over.sum() >= least:
                 shape, scale = K.fit_gpd(s[over] - u)
                 out[over & (over.mean() * K.gpd_tail(s - u, shape, scale) < tail)] = sign
-        return pdf.assign(extreme_label=out)[[*keys, day, x, "extreme_label"]]
+        return pdf.assign(tail_label=out)[[*keys, day, x, "tail_label"]]
 
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{day} {kinds[day]}", f"{x} double", "extreme_label int"])
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], f"{day} {kinds[day]}", f"{x} double", "tail_label int"])
     return df.select(*keys, day, F.col(x).cast("double").alias(x)).na.drop().groupBy(*keys).applyInPandas(label, schema)
 
 

@@ -33,45 +33,45 @@ def features(spark: SparkSession, d: str) -> DataFrame:
 
 def m1_logit(spark: SparkSession, d: str) -> DataFrame:
     """Logit by asset with odds ratios per deviation (M1, M2, V7, V8)."""
-    return grouped_logit(features(spark, d), ["asset"], "extreme_down", ["rwdv", "mom"])
+    return grouped_logit(features(spark, d), ["asset"], "tail_down", ["rwdv", "mom"])
 
 
 def m3_split(spark: SparkSession, d: str) -> DataFrame:
     """Logit before and from 1998 on, each in sample."""
     x = features(spark, d).withColumn("regime", F.when(F.col("week") < "1998-01-01", "early").otherwise("late"))
-    return grouped_logit(x, ["regime"], "extreme_down", ["rwdv", "mom"])
+    return grouped_logit(x, ["regime"], "tail_down", ["rwdv", "mom"])
 
 
 def m3_after(spark: SparkSession, d: str) -> DataFrame:
     """AUC from 1998 on of each asset's logit trained before (M3)."""
-    return split_logit(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], "1998-01-01")
+    return split_logit(features(spark, d), ["asset"], "week", "tail_down", ["rwdv", "mom"], "1998-01-01")
 
 
 def m4_firth(spark: SparkSession, d: str) -> DataFrame:
     """Penalised logit by asset with likelihood-ratio p (M4, M5)."""
-    return grouped_logit(features(spark, d), ["asset"], "extreme_down", ["rwdv", "mom"], firth=True)
+    return grouped_logit(features(spark, d), ["asset"], "tail_down", ["rwdv", "mom"], firth=True)
 
 
 def m6_permutation(spark: SparkSession, d: str) -> DataFrame:
     """Label permutation p by asset."""
-    return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=5000)
+    return permutation_p(features(spark, d), ["asset"], "week", "tail_down", ["rwdv", "mom"], replicates=5000)
 
 
 def m7_blocks(spark: SparkSession, d: str) -> DataFrame:
     """The same, shuffling blocks of eight weeks."""
-    return permutation_p(features(spark, d), ["asset"], "week", "extreme_down", ["rwdv", "mom"], replicates=3000, block=8)
+    return permutation_p(features(spark, d), ["asset"], "week", "tail_down", ["rwdv", "mom"], replicates=3000, block=8)
 
 
 def m8_interaction(spark: SparkSession, d: str) -> DataFrame:
     """Pooled logit with a regime and its interaction with momentum."""
     late = (F.col("week") >= "1998-01-01").cast("double")
     x = features(spark, d).withColumns({"late": late, "mom_late": F.col("mom") * late})
-    return pooled_logit(x, "extreme_down", ["mom", "late", "mom_late", "rwdv"])
+    return pooled_logit(x, "tail_down", ["mom", "late", "mom_late", "rwdv"])
 
 
 def m9_panel(spark: SparkSession, d: str) -> DataFrame:
     """Pooled logit with asset effects and errors clustered by asset and week."""
-    return pooled_logit(features(spark, d), "extreme_down", ["rwdv", "mom"], clusters=["asset", "week"], fixed_effects="asset")
+    return pooled_logit(features(spark, d), "tail_down", ["rwdv", "mom"], clusters=["asset", "week"], fixed_effects="asset")
 
 
 def m10_ridge(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def m10_ridge(spark: SparkSession, d: str) -> DataFrame:
     x = features(spark, d)
     newest = x.agg(F.max("week")).collect()[0][0]
     x = x.withColumn("w", F.pow(F.lit(0.5), F.datediff(F.lit(newest), F.col("week")) / (7 * 104)))
-    return pooled_logit(x, "extreme_down", ["rwdv", "mom"], weight="w", ridge=1.0)
+    return pooled_logit(x, "tail_down", ["rwdv", "mom"], weight="w", ridge=1.0)
 
 
 def m11_quantiles(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +87,7 @@ def m11_quantiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m12_boosted(spark: SparkSession, d: str) -> DataFrame:
-    return boosted_against_logit(features(spark, d), ["asset"], "week", "extreme_up", ["rwdv", "semidev", "mom"], rounds=300)
+    return boosted_against_logit(features(spark, d), ["asset"], "week", "tail_up", ["rwdv", "semidev", "mom"], rounds=300)
 
 
 def m13_spearman(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +99,7 @@ def m13_spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d12_evt(spark: SparkSession, d: str) -> DataFrame:
-    """Extreme weeks by tail fits."""
+    """Tail weeks by tail fits."""
     x = weekly(assets(spark, d), {"ret": F.sum("r")}, "asset", fill={"ret": 0.0})
     return evt_labels(x, ["asset"], "week", "ret")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.calendar import month_end, week_end
-from marlstone.operators.labels import decile_labels, extreme_labels, last_value, momentum, monthly_forward, recovery_weights, scar_flags, trailing_volatility, weekly, with_returns
+from marlstone.operators.labels import decile_labels, tail_labels, last_value, momentum, monthly_forward, recovery_weights, scar_flags, trailing_volatility, weekly, with_returns
 from marlstone.operators.trailing import latest_readings
 from marlstone.operators.windows import along, average_rank, forward_fill, gap_clusters, rolling, rolling_weighted_mean, running_product, running_sum, top_k
 from marlstone.plans.prepare import settled
@@ -68,7 +68,7 @@ nx AS (SELECT *, lead(ret) OVER (PARTITION BY coin ORDER BY week) AS fwd FROM wk
 fl AS (SELECT coin, week, ret, fwd, coalesce(low < last_level, FALSE) AS fell, coalesce(best >= low + 0.5 * (last_level - low), FALSE) AS regained, remaining FROM nx LEFT JOIN seg USING (coin, week) WHERE fwd IS NOT NULL),
 cut AS (SELECT coin, quantile_cont(ret, 0.1) AS lo, quantile_cont(ret, 0.9) AS hi FROM wk GROUP BY coin),
 lab AS (SELECT coin, week, ret, fwd, fell AND NOT regained AS scar, NOT fell OR regained OR coalesce(remaining >= 15, FALSE) AS resolved,
-  CAST(fwd <= lo AND fell AND NOT regained AS INTEGER) AS extreme_down, CAST(fwd >= hi AS INTEGER) AS extreme_up, CAST(fwd <= lo AS INTEGER) AS cand_down FROM fl JOIN cut USING (coin))"""
+  CAST(fwd <= lo AND fell AND NOT regained AS INTEGER) AS tail_down, CAST(fwd >= hi AS INTEGER) AS tail_up, CAST(fwd <= lo AS INTEGER) AS cand_down FROM fl JOIN cut USING (coin))"""
 RWDV = RET + """,
 rw AS (SELECT *, lag(level) OVER w AS p, list(level) OVER (PARTITION BY coin ORDER BY d ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING) AS ahead FROM ret WINDOW w AS (PARTITION BY coin ORDER BY d)),
 rx AS (SELECT coin, d, level, r, CASE WHEN level < p THEN coalesce(nullif(list_position(list_transform(ahead, lambda x: x >= level + 0.5 * (p - level)), TRUE), 0), 10) / 10.0 ELSE 0.0 END AS w FROM rw),
@@ -141,7 +141,7 @@ def w12_ranks(spark: SparkSession, d: str) -> DataFrame:
     return sentiment(spark, d).select("coin", "week", average_rank(F.col("n"), ["coin"]).alias("avg_rank"))
 
 
-def w14_extremes(spark: SparkSession, d: str) -> DataFrame:
+def w14_peaks(spark: SparkSession, d: str) -> DataFrame:
     """Peak of the last 31 rows and low from 7 rows back to 29 ahead."""
     return prices(spark, d).select("coin", "d", *r6(peak=F.max("level").over(by_day().rowsBetween(-30, 0)), low=F.min("level").over(by_day().rowsBetween(-7, 29))))
 
@@ -176,7 +176,7 @@ def d3_rwdv(spark: SparkSession, d: str) -> DataFrame:
 def d5_labels(spark: SparkSession, d: str) -> DataFrame:
     """Weekly scar flags and decile labels."""
     x = decile_labels(flags(spark, d))
-    return x.select("coin", "week", "scar", "resolved", "extreme_down", "extreme_up", "cand_down", *r6(ret_1w=F.col("ret_1w"), ret_1w_fwd=F.col("ret_1w_fwd")))
+    return x.select("coin", "week", "scar", "resolved", "tail_down", "tail_up", "cand_down", *r6(ret_1w=F.col("ret_1w"), ret_1w_fwd=F.col("ret_1w_fwd")))
 
 
 def d7_momentum(spark: SparkSession, d: str) -> DataFrame:
@@ -194,7 +194,7 @@ def weekly_features(spark: SparkSession, d: str) -> DataFrame:
 
 def d8_features(spark: SparkSession, d: str) -> DataFrame:
     f = weekly_features(spark, d)
-    return f.select("coin", "week", "extreme_down", "extreme_up", "cand_down", *r6(**{c: F.col(c) for c in ("ret_1w", "ret_1w_fwd", "rwdv", "semidev", "sd", "mom")}))
+    return f.select("coin", "week", "tail_down", "tail_up", "cand_down", *r6(**{c: F.col(c) for c in ("ret_1w", "ret_1w_fwd", "rwdv", "semidev", "sd", "mom")}))
 
 
 def d9_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -203,13 +203,13 @@ def d9_forward(spark: SparkSession, d: str) -> DataFrame:
 
 def d10_quantile(spark: SparkSession, d: str) -> DataFrame:
     """Weekly returns labelled by their coin's outer quantiles (6 % a side, inclusive)."""
-    x = extreme_labels(weekly(returns(spark, d), {"ret": F.sum("r")}, fill={"ret": 0.0}), "ret")
-    return x.select("coin", "week", "extreme_label", *r6(z=F.col("forward_zscore")))
+    x = tail_labels(weekly(returns(spark, d), {"ret": F.sum("r")}, fill={"ret": 0.0}), "ret")
+    return x.select("coin", "week", "tail_label", *r6(z=F.col("forward_zscore")))
 
 
 def d11_global_z(spark: SparkSession, d: str) -> DataFrame:
-    x = extreme_labels(weekly(returns(spark, d), {"ret": F.sum("r")}, fill={"ret": 0.0}), "ret", method="global_z")
-    return x.select("coin", "week", "extreme_label", *r6(z=F.col("forward_zscore")))
+    x = tail_labels(weekly(returns(spark, d), {"ret": F.sum("r")}, fill={"ret": 0.0}), "ret", method="global_z")
+    return x.select("coin", "week", "tail_label", *r6(z=F.col("forward_zscore")))
 
 
 def d18_momentum(spark: SparkSession, d: str) -> DataFrame:
@@ -230,14 +230,14 @@ def d20_panel(spark: SparkSession, d: str) -> DataFrame:
     """Pooled panel: weekly labels with the coin's own sentiment of the week and the mean over all coins."""
     own = sentiment(spark, d).groupBy("coin", week_end(F.col("week")).alias("week")).agg(F.avg("s").alias("own"), F.sum("n").alias("n"))
     shared = own.groupBy("week").agg(F.avg("own").alias("shared"))
-    x = decile_labels(flags(spark, d)).select("coin", "week", "extreme_down")
-    return x.join(own, ["coin", "week"], "left").join(shared, "week", "left").select("coin", "week", "extreme_down", "n", *r6(own=F.col("own"), shared=F.col("shared")))
+    x = decile_labels(flags(spark, d)).select("coin", "week", "tail_down")
+    return x.join(own, ["coin", "week"], "left").join(shared, "week", "left").select("coin", "week", "tail_down", "n", *r6(own=F.col("own"), shared=F.col("shared")))
 
 
 def a13_base_rate(spark: SparkSession, d: str) -> DataFrame:
-    """Share of extreme weeks by coin, and whether it lies within 5 to 15 %."""
+    """Share of tail weeks by coin, and whether it lies within 5 to 15 %."""
     x = decile_labels(flags(spark, d))
-    rate = F.count_if(F.col("extreme_down") == 1) / F.count("*")
+    rate = F.count_if(F.col("tail_down") == 1) / F.count("*")
     return x.groupBy("coin").agg(F.count("*").alias("weeks"), settled(rate).alias("base_rate"), rate.between(0.05, 0.15).alias("in_band"))
 
 
@@ -254,7 +254,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 _C = "PARTITION BY coin ORDER BY"
 QUERIES = {f.__name__: f for f in (
-    w1_weekly, w2_month_last, w3_lags, w4_lead, w7_rolling, w8_weighted, w9_cumulative, w10_ffill, w11_clusters, w12_ranks, w14_extremes, w15_topk, w16_expanding,
+    w1_weekly, w2_month_last, w3_lags, w4_lead, w7_rolling, w8_weighted, w9_cumulative, w10_ffill, w11_clusters, w12_ranks, w14_peaks, w15_topk, w16_expanding,
     d1_portfolio, d3_rwdv, d5_labels, d7_momentum, d8_features, d9_forward, d10_quantile, d11_global_z, d18_momentum, d19_normalised, d20_panel, a13_base_rate, s8_periods,
 )}
 _MOM = WEEKS + f""", md AS (SELECT coin, d, {roll("sum", "r", 20)} AS m FROM ret), mw AS (SELECT coin, {FRI("d")} AS week, arg_max(m, d) FILTER (WHERE m IS NOT NULL) AS m FROM md GROUP BY ALL),
@@ -271,20 +271,20 @@ SQL = {
     "w10_ffill": f"WITH {WEEKS} SELECT coin, week, {R6(f'last_value(last_level IGNORE NULLS) OVER ({_C} week)')} AS level FROM wk",
     "w11_clusters": f"WITH {SCAR}, c AS (SELECT *, CASE WHEN week - lag(week) OVER ({_C} week) <= 30 THEN 0 ELSE 1 END AS fresh FROM lab WHERE cand_down = 1), e AS (SELECT *, sum(fresh) OVER ({_C} week) AS cluster_id FROM c) SELECT coin, CAST(cluster_id AS BIGINT) AS cluster_id, count(*) AS weeks, arg_min(week, (fwd, week)) AS week, {R6('min(fwd)')} AS ret_1w_fwd FROM e GROUP BY ALL",
     "w12_ranks": f"WITH {SENT} SELECT coin, week, rank() OVER ({_C} n) + (count(*) OVER (PARTITION BY coin, n) - 1) / 2.0 AS avg_rank FROM sen",
-    "w14_extremes": f"WITH {PX} SELECT coin, d, {R6(f'max(level) OVER ({_C} d ROWS BETWEEN 30 PRECEDING AND CURRENT ROW)')} AS peak, {R6(f'min(level) OVER ({_C} d ROWS BETWEEN 7 PRECEDING AND 29 FOLLOWING)')} AS low FROM px",
+    "w14_peaks": f"WITH {PX} SELECT coin, d, {R6(f'max(level) OVER ({_C} d ROWS BETWEEN 30 PRECEDING AND CURRENT ROW)')} AS peak, {R6(f'min(level) OVER ({_C} d ROWS BETWEEN 7 PRECEDING AND 29 FOLLOWING)')} AS low FROM px",
     "w15_topk": f"WITH {SENT} SELECT coin, week, n FROM sen QUALIFY row_number() OVER (PARTITION BY coin ORDER BY n DESC, week) <= 3",
     "w16_expanding": f"WITH {RET} SELECT coin, d, {R6(f'avg(r) OVER ({_C} d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS mean_before, {R6(f'stddev_samp(r) OVER ({_C} d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)')} AS sd_before FROM ret",
     "d1_portfolio": f"WITH {RET} SELECT d, count(r) AS coins, {R6('avg(r)')} AS portfolio FROM ret GROUP BY d HAVING count(r) >= 2",
     "d3_rwdv": f"WITH {RWDV} SELECT coin, d, CAST(w AS DOUBLE) AS w, {R6('rwdv')} AS rwdv, {R6('semidev')} AS semidev, {R6('sd')} AS sd FROM ({VOL})",
-    "d5_labels": f"WITH {SCAR} SELECT coin, week, scar, resolved, extreme_down, extreme_up, cand_down, {R6('ret')} AS ret_1w, {R6('fwd')} AS ret_1w_fwd FROM lab",
+    "d5_labels": f"WITH {SCAR} SELECT coin, week, scar, resolved, tail_down, tail_up, cand_down, {R6('ret')} AS ret_1w, {R6('fwd')} AS ret_1w_fwd FROM lab",
     "d7_momentum": f"WITH {_MOM} SELECT coin, week, {R6('mom')} AS mom FROM mm",
-    "d8_features": f"WITH {_MOM}, {SCAR.split('AS n_obs FROM cal LEFT JOIN wk0 USING (coin, week)),')[-1].lstrip()}, {RWDV.split('FROM px),')[-1].lstrip()}, vv AS ({VOL}), vw AS (SELECT coin, {FRI('d')} AS week, arg_max(rwdv, d) FILTER (WHERE rwdv IS NOT NULL) AS rwdv, arg_max(semidev, d) FILTER (WHERE semidev IS NOT NULL) AS semidev, arg_max(sd, d) FILTER (WHERE sd IS NOT NULL) AS sd FROM vv GROUP BY ALL) SELECT coin, week, extreme_down, extreme_up, cand_down, {R6('ret')} AS ret_1w, {R6('fwd')} AS ret_1w_fwd, {R6('rwdv')} AS rwdv, {R6('semidev')} AS semidev, {R6('sd')} AS sd, {R6('mom')} AS mom FROM lab LEFT JOIN vw USING (coin, week) LEFT JOIN mm USING (coin, week) WHERE rwdv IS NOT NULL",
+    "d8_features": f"WITH {_MOM}, {SCAR.split('AS n_obs FROM cal LEFT JOIN wk0 USING (coin, week)),')[-1].lstrip()}, {RWDV.split('FROM px),')[-1].lstrip()}, vv AS ({VOL}), vw AS (SELECT coin, {FRI('d')} AS week, arg_max(rwdv, d) FILTER (WHERE rwdv IS NOT NULL) AS rwdv, arg_max(semidev, d) FILTER (WHERE semidev IS NOT NULL) AS semidev, arg_max(sd, d) FILTER (WHERE sd IS NOT NULL) AS sd FROM vv GROUP BY ALL) SELECT coin, week, tail_down, tail_up, cand_down, {R6('ret')} AS ret_1w, {R6('fwd')} AS ret_1w_fwd, {R6('rwdv')} AS rwdv, {R6('semidev')} AS semidev, {R6('sd')} AS sd, {R6('mom')} AS mom FROM lab LEFT JOIN vw USING (coin, week) LEFT JOIN mm USING (coin, week) WHERE rwdv IS NOT NULL",
     "d9_forward": f"WITH {RET}, s AS (SELECT *, {roll('sum', 'r', 63)} AS s FROM ret), f AS (SELECT *, lead(s, 63) OVER ({_C} d) AS f FROM s) SELECT coin, last_day(d) AS month_end, {R6('arg_max(f, d)')} AS forward_return FROM f WHERE f IS NOT NULL GROUP BY ALL",
-    "d10_quantile": f"WITH {WEEKS}, {_LABEL} SELECT coin, week, CASE WHEN ret >= hi THEN 1 WHEN ret <= lo THEN -1 ELSE 0 END AS extreme_label, {R6('z')} AS z FROM zz",
-    "d11_global_z": f"WITH {WEEKS}, {_LABEL} SELECT coin, week, CASE WHEN z > 2 THEN 1 WHEN z < -2 THEN -1 ELSE 0 END AS extreme_label, {R6('z')} AS z FROM zz",
+    "d10_quantile": f"WITH {WEEKS}, {_LABEL} SELECT coin, week, CASE WHEN ret >= hi THEN 1 WHEN ret <= lo THEN -1 ELSE 0 END AS tail_label, {R6('z')} AS z FROM zz",
+    "d11_global_z": f"WITH {WEEKS}, {_LABEL} SELECT coin, week, CASE WHEN z > 2 THEN 1 WHEN z < -2 THEN -1 ELSE 0 END AS tail_label, {R6('z')} AS z FROM zz",
     "d18_momentum": f"WITH {WEEKS} SELECT coin, week, {R6('ret')} AS mom1, {R6(roll('sum', 'ret', 4, None, 'week'))} AS mom4 FROM wk",
     "d19_normalised": f"WITH {PX} SELECT coin, d, {R6('level / f')} AS rel FROM (SELECT *, count(*) OVER (PARTITION BY coin) AS n, first_value(level) OVER ({_C} d) AS f FROM px) WHERE n >= 120",
-    "d20_panel": f"WITH {SCAR}, {SENT}, ow AS (SELECT coin, {FRI('week')} AS week, avg(s) AS own, sum(n) AS n FROM sen GROUP BY ALL), sh AS (SELECT week, avg(own) AS shared FROM ow GROUP BY week) SELECT coin, week, extreme_down, n, {R6('own')} AS own, {R6('shared')} AS shared FROM lab LEFT JOIN ow USING (coin, week) LEFT JOIN sh USING (week)",
-    "a13_base_rate": f"WITH {SCAR} SELECT coin, count(*) AS weeks, {R6('avg(extreme_down)')} AS base_rate, avg(extreme_down) BETWEEN 0.05 AND 0.15 AS in_band FROM lab GROUP BY coin",
+    "d20_panel": f"WITH {SCAR}, {SENT}, ow AS (SELECT coin, {FRI('week')} AS week, avg(s) AS own, sum(n) AS n FROM sen GROUP BY ALL), sh AS (SELECT week, avg(own) AS shared FROM ow GROUP BY week) SELECT coin, week, tail_down, n, {R6('own')} AS own, {R6('shared')} AS shared FROM lab LEFT JOIN ow USING (coin, week) LEFT JOIN sh USING (week)",
+    "a13_base_rate": f"WITH {SCAR} SELECT coin, count(*) AS weeks, {R6('avg(tail_down)')} AS base_rate, avg(tail_down) BETWEEN 0.05 AND 0.15 AS in_band FROM lab GROUP BY coin",
     "s8_periods": f"WITH {PX}, b AS (SELECT min(d) AS a, max(d) AS b FROM px) " + " UNION ALL ".join(f"SELECT {n} AS months, CAST(x AS DATE) AS first, CAST(x + INTERVAL {n} MONTH AS DATE) AS next FROM (SELECT unnest(generate_series(date_trunc('month', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL {n} MONTH)) AS x FROM b)" for n in (1, 3)),
 }

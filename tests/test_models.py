@@ -114,8 +114,8 @@ def test_grouped(spark):
     q = grouped_quantiles(df, ["g"], "z", ["a"]).collect()
     assert len(q) == 12 and all(abs(r.coefficient - 1) < 0.5 for r in q)
     assert boosted_against_logit(df, ["g"], "t", "y", ["a", "b"]).count() == 3
-    e = evt_labels(df, ["g"], "t", "z").groupBy("extreme_label").count().collect()
-    assert {r.extreme_label for r in e} == {-1, 0, 1} and sum(r["count"] for r in e) == 600
+    e = evt_labels(df, ["g"], "t", "z").groupBy("tail_label").count().collect()
+    assert {r.tail_label for r in e} == {-1, 0, 1} and sum(r["count"] for r in e) == 600
 
 
 def walk_frame(spark, seed=8, n=160):
