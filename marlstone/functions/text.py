@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.timestamps import pin
+
 #: A small default lexicon of market language; pass your own for real use.
 LEXICON = {
     "rose": 2.0, "jumped": 2.5, "safe": 1.8, "agreed": 1.2, "fixes": 1.5, "growing": 1.4, "joined": 0.8, "earned": 1.6, "calm": 1.3, "reopened": 1.7, "released": 0.9, "adds": 1.0,
@@ -20,6 +22,14 @@ def lexicon_hits(text: Column, lexicon: dict[str, float]) -> Column:
     return F.transform(found, lambda w: values[w])
 
 
+def with_lexicon_scores(df: DataFrame, text: str, lexicon: dict[str, float] | None = None, alpha: float = 15.0) -> DataFrame:
+    """Add ``compound`` and ``polarity`` (see below); the text is searched once for both."""
+    d = pin(df, {"__hits": lexicon_hits(F.col(text), lexicon or LEXICON)})
+    d = pin(d, {"__s": F.aggregate("__hits", F.lit(0.0), lambda a, x: a + x)})
+    mean = F.when(F.size("__hits") > 0, F.col("__s") / F.size("__hits") / 3.0).otherwise(F.when(F.col(text).isNotNull(), 0.0))
+    return d.withColumns({"compound": F.col("__s") / F.sqrt(F.col("__s") * F.col("__s") + alpha), "polarity": mean}).drop("__hits", "__s")
+
+
 def lexicon_compound(text: Column, lexicon: dict[str, float] | None = None, alpha: float = 15.0) -> Column:
     """Sum of word values squeezed into (-1, 1) by s / sqrt(s^2 + alpha); 0 without hits, NULL for NULL."""
     s = F.aggregate(lexicon_hits(text, lexicon or LEXICON), F.lit(0.0), lambda a, x: a + x)

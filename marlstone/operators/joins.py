@@ -22,6 +22,23 @@ def asof_forward(left: DataFrame, right: DataFrame, keys: list[str], left_on: st
     return both.withColumn(out, found).filter(F.col("__l")).select(*kept, out)
 
 
+def asof_forward_split(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, out: str = "matched", bucket_days: int = 64) -> DataFrame:
+    """``asof_forward`` for keys too large for one task, or none at all: time is cut into buckets of days.
+
+    A row's match lies in its own bucket, or is the first day of the next bucket that has any. The
+    latter is looked up between distinct buckets alone, a table as long as the calendar is.
+    """
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / bucket_days)
+    l = left.withColumn("__b", bucket(F.col(left_on)))  # noqa: E741
+    r = right.select(*keys, F.col(right_on).alias("__day")).filter(F.col("__day").isNotNull()).withColumn("__b", bucket(F.col("__day")))
+    firsts = r.groupBy(*keys, "__b").agg(F.min("__day").alias("__first"))
+    asked = l.select(*keys, "__b").distinct().join(firsts, [*keys, "__b"], "full_outer")
+    later = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    following = asked.select(*keys, "__b", F.last("__first", ignorenulls=True).over(later).alias("__next"))
+    found = asof_forward(l, r, [*keys, "__b"], left_on, "__day", "__in").join(following, [*keys, "__b"], "left")
+    return found.select(*left.columns, F.coalesce("__in", "__next").alias(out))
+
+
 def trailing_join(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, days: int, aggs: list[Column]) -> DataFrame:
     """Aggregate, per row of ``left``, the right rows of its key dated in ``(left_on - days, left_on]``.
 

@@ -208,7 +208,7 @@ def spearman(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.corrcoef(a, b)[0, 1]) if a.std() > 0 and b.std() > 0 else math.nan
 
 
-def grow_trees(x: np.ndarray, y: np.ndarray, rounds: int = 100, depth: int = 3, rate: float = 0.05, l2: float = 1.0, bins: int = 32, least: int = 20) -> list:
+def grow_trees(x: np.ndarray, y: np.ndarray, rounds: int = 300, depth: int = 3, rate: float = 0.05, l2: float = 1.0, bins: int = 32, least: int = 20) -> list:
     """Gradient-boosted trees on binned features with logistic loss; for small tables within a group."""
     edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
     binned = np.column_stack([np.searchsorted(e, x[:, j], side="right") for j, e in enumerate(edges)])

@@ -15,6 +15,15 @@ def with_returns(prices: DataFrame, key: str = "coin", day: str = "d", level: st
     return prices.withColumn("r", log_return(F.col(level), along([key], day)))
 
 
+def normalised(prices: DataFrame, key: str = "coin", day: str = "d", level: str = "level", least_rows: int = 200) -> DataFrame:
+    """Add ``rel``, the level relative to its series' first one; series with fewer than ``least_rows`` rows are left out.
+
+    The rows are counted and the first level is taken by one aggregate that combines before the shuffle.
+    """
+    first = prices.groupBy(key).agg(F.count("*").alias("__n"), F.min_by(level, day).alias("__f")).filter(F.col("__n") >= least_rows)
+    return prices.join(first, key).withColumn("rel", F.col(level) / F.col("__f")).drop("__n", "__f")
+
+
 def recovery_weights(df: DataFrame, key: str = "coin", day: str = "d", level: str = "level", horizon: int = 10, fraction: float = 0.5) -> DataFrame:
     """Add ``w``: on a day of loss the rows until ``fraction`` of it is regained, capped, over ``horizon``; else 0."""
     win = along([key], day)

@@ -219,7 +219,7 @@ def evt_labels(df: DataFrame, keys: list[str], day: str, x: str, threshold: floa
     return df.select(*keys, day, F.col(x).cast("double").alias(x)).na.drop().groupBy(*keys).applyInPandas(label, schema)
 
 
-def boosted_against_logit(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], split: float = 0.7, least_rows: int = 60, rounds: int = 100) -> DataFrame:
+def boosted_against_logit(df: DataFrame, keys: list[str], order: str, y: str, x: list[str], split: float = 0.7, least_rows: int = 60, rounds: int = 300) -> DataFrame:
     """Out-of-sample AUC of boosted trees and of a logit per key, on the last part of the rows in time order."""
     kinds = dict(df.dtypes)
 

@@ -60,13 +60,18 @@ def failed_values(df: DataFrame, date: str, text: str) -> tuple[DataFrame, DataF
     """Dictionaries of the invalid values of the two columns, with reasons.
 
     Every distinct date is cast once; of the texts only those that a white-space test does not clear
-    are candidates at all, so the corpus of texts is not shuffled for it.
+    are candidates at all, so the corpus of texts is not shuffled for it. The rows are read once for
+    both: their distinct values come out of one aggregate, and the dictionary is cut once.
     """
-    dates = parse_dates(df.select(F.coalesce(F.col(date), F.lit("")).alias("__v")).distinct(), "__v", out="__d")
-    why = F.when(F.col("__d_kind") == "blank", "the date is blank").when(F.col("__d_kind") == "format", "no date notation fits").otherwise("no such day or moment")
-    bad_dates = dates.filter(~F.col("__d_kind").isin("day", "moment")).select("__v", why.alias("__why_date"))
-    bad_texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("__v")).filter(is_blank(F.col("__v"))).distinct().select("__v", F.lit("the text is blank").alias("__why_text"))
-    return bad_dates, bad_texts
+    t = F.coalesce(F.col(text), F.lit(""))
+    pair = lambda kind, v: F.struct(F.lit(kind).alias("k"), v.alias("v"))
+    both = F.array(pair("date", F.coalesce(F.col(date), F.lit(""))), F.when(is_blank(t), pair("text", t)))
+    values = df.select(F.inline(F.filter(both, lambda x: x.isNotNull()))).distinct()
+    judged = parse_dates(values, "v", out="__d")
+    why = F.when(F.col("k") == "text", "the text is blank").when(F.col("__d_kind") == "blank", "the date is blank").when(F.col("__d_kind") == "format", "no date notation fits").otherwise("no such day or moment")
+    bad = durable(judged.filter((F.col("k") == "text") | ~F.col("__d_kind").isin("day", "moment")).select("k", F.col("v").alias("__v"), why.alias("__why")))
+    part = lambda kind, name: bad.filter(F.col("k") == kind).select("__v", F.col("__why").alias(name))
+    return part("date", "__why_date"), part("text", "__why_text")
 
 
 def load_records(df: DataFrame, line: str = "line", key: str = "line_id") -> tuple[DataFrame, DataFrame]:
@@ -82,7 +87,7 @@ def load_records(df: DataFrame, line: str = "line", key: str = "line_id") -> tup
     """
     d = split_fields(df.filter(F.col(line).isNotNull() & ~is_blank(F.col(line))), line)
     cells = d.filter(~F.col("__bad") & (F.col("__n") == 2))
-    bad_dates, bad_texts = (small_side(durable(x)) for x in failed_values(cells, "__f1", "__f2"))
+    bad_dates, bad_texts = (small_side(x) for x in failed_values(cells, "__f1", "__f2"))
     d = d.join(bad_dates.withColumnRenamed("__v", "__v1"), F.coalesce("__f1", F.lit("")) == F.col("__v1"), "left")
     d = d.join(bad_texts.withColumnRenamed("__v", "__v2"), F.coalesce("__f2", F.lit("")) == F.col("__v2"), "left")
     reason = F.when(F.col("__bad"), "quoting").when(F.col("__n") != 2, "columns").when(F.col("__why_date").isNotNull() | F.col("__why_text").isNotNull(), "value")

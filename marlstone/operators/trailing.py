@@ -19,9 +19,9 @@ def latest_readings(df: DataFrame, entity: str, day: str, values: list[str], loa
     """One row per (entity, day): of the rows whose first value is not NULL the one loaded last.
 
     Equal load times are decided by the larger values. Rows without entity or day have no place on
-    the calendar and are left out. NaN counts as NULL. The maximum is combined before the shuffle.
+    the calendar and are left out. NaN and infinities count as NULL. The maximum is combined before the shuffle.
     """
-    cast = [F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")).alias(f"__v{k}") for k, v in enumerate(values)]
+    cast = [F.when(F.abs(F.col(v).cast("double")) < float("inf"), F.col(v).cast("double")).alias(f"__v{k}") for k, v in enumerate(values)]
     d = df.select(F.col(entity).alias("__e"), F.col(day).cast("date").alias("__day"), (F.col(loaded) if loaded else F.lit(None).cast("timestamp")).alias("__at"), *cast)
     d = d.filter(F.col("__e").isNotNull() & F.col("__day").isNotNull() & F.col("__v0").isNotNull())
     best = F.max(F.struct("__at", *[f"__v{k}" for k in range(len(values))])).alias("__best")

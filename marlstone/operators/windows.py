@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from marlstone.session import durable
+
 
 def along(keys: list[str], order: str) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -51,6 +53,21 @@ def average_rank(x: Column, keys: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2
 
 
+def sorted_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
+    """The distinct values of ``column`` with their number in sorted order, from 0; NULL, if there, comes first.
+
+    The values are cut into ranges; a number is the count of the ranges before (a row a range) plus
+    the place inside its own range, so no task sorts them all.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = durable(df.select(column).distinct().repartitionByRange(ranges, column).withColumn("__part", F.spark_partition_id()))
+    sizes = cut.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
+    return cut.withColumn("__k", place).join(sizes, "__part").select(column, (F.col("__before") + F.col("__k")).cast("int").alias(out))
+
+
 def gap_clusters(df: DataFrame, keys: list[str], day: str, gap_days: int, out: str = "cluster_id") -> DataFrame:
     """Number runs of rows whose distance to the row before is at most ``gap_days``, from 1 per key."""
     w = along(keys, day)

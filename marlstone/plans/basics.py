@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +10,13 @@ from pyspark.sql import functions as F
 from marlstone.functions.scorers import lexicon_model, model_score
 from marlstone.functions.text import LEXICON
 from marlstone.operators.harness import in_sample, walk_forward
-from marlstone.operators.joins import asof_forward
+from marlstone.operators.joins import asof_forward_split
 from marlstone.operators.metrics import metrics
 from marlstone.operators.windows import along, log_return
 from marlstone.plans.inference import SPECS, features
 from marlstone.plans.relational import _VALUES, _WORDS
 from marlstone.plans.series import PX, R6, RET, SENT, prices, r6, returns, sentiment
-from marlstone.session import durable
+from marlstone.session import durable, shared_folder
 from marlstone.sources.sinks import fixed_width, number, write_csv
 from marlstone.sources.tables import table
 
@@ -69,8 +68,8 @@ def o1_sorted(spark: SparkSession, d: str) -> DataFrame:
 def s12_events(spark: SparkSession, d: str) -> DataFrame:
     """A literal table of named dates and each one's first trading day."""
     named = spark.createDataFrame([("spring", "1996-03-02", "-"), ("harvest", "1997-09-06", "+"), ("new year", "1999-01-01", "-"), ("leap day", "2000-02-29", "+"), ("after", "2031-01-01", "-")], "name string, day string, sign string").withColumn("day", F.to_date("day"))
-    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct().withColumn("one", F.lit(1))
-    return asof_forward(named.withColumn("one", F.lit(1)), days, ["one"], "day", "d", "t0").select("name", "sign", "day", "t0")
+    days = table(spark, d, "orders").select(F.to_date("o_orderdate").alias("d")).distinct()
+    return asof_forward_split(named, days, [], "day", "d", "t0").select("name", "sign", "day", "t0")
 
 
 def s5_ohlc(spark: SparkSession, d: str) -> DataFrame:
@@ -84,8 +83,7 @@ def s5_ohlc(spark: SparkSession, d: str) -> DataFrame:
 
 def k1_csv(spark: SparkSession, d: str) -> DataFrame:
     """A result written as CSV and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-csv-")
-    path = f"{base}/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write_csv(table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), path)
     return spark.read.schema("s_suppkey BIGINT, s_name STRING, s_acctbal DOUBLE").option("header", True).csv(path)
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.calendar import month_end, week_end
-from marlstone.functions.text import LEXICON, decay_weight, joined_text, joined_text_once, lexicon_compound, lexicon_polarity, weighted_mean
+from marlstone.functions.calendar import month_end, spine, week_end
+from marlstone.functions.text import LEXICON, decay_weight, joined_text, joined_text_once, lexicon_compound, weighted_mean, with_lexicon_scores
 from marlstone.operators.joins import asof_forward, positional_join, score_with_cache, trailing_join
-from marlstone.operators.windows import along, keep_first, top_k
+from marlstone.operators.windows import along, keep_first, sorted_codes, top_k
 from marlstone.plans.prepare import settled
 from marlstone.plans.series import FRI, PX, R6, RET, SENT, prices, r6, returns, sentiment
+from marlstone.session import durable
 from marlstone.sources.documents import first_tab, news_articles, meta_description, rss_items, with_optional
 from marlstone.sources.tables import table
 
@@ -118,7 +119,7 @@ def j10_positional(spark: SparkSession, d: str) -> DataFrame:
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").filter(F.col("published").isNotNull())
-    return x.select("doc_id", "coin", "published", lexicon_compound(F.col("text")).alias("v"), lexicon_polarity(F.col("text")).alias("p"))
+    return with_lexicon_scores(x, "text").select("doc_id", "coin", "published", F.col("compound").alias("v"), F.col("polarity").alias("p"))
 
 
 def _composite(x: DataFrame, period: str, keys: list[str]) -> DataFrame:
@@ -137,8 +138,9 @@ def a2_weekly(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a3_coin_weekly(spark: SparkSession, d: str) -> DataFrame:
-    """Weekly composites by coin."""
-    return _composite(_scored(spark, d).filter("coin is not null").withColumn("week", week_end(F.col("published"))), "week", ["coin"])
+    """Weekly composites by coin on a spine of its weeks: one without documents has a count of 0 and NULL means."""
+    made = durable(_composite(_scored(spark, d).filter("coin is not null").withColumn("week", week_end(F.col("published"))), "week", ["coin"]))
+    return spine(made, "week", ["coin"], "7 days", "week").join(made, ["coin", "week"], "left").fillna({"n_articles": 0})
 
 
 def a4_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -200,14 +202,13 @@ def x4_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def x1_scores(spark: SparkSession, d: str) -> DataFrame:
     """Lexicon score and polarity of every document."""
-    return table(spark, d, "documents").select("doc_id", *r6(compound=lexicon_compound(F.col("text")), polarity=lexicon_polarity(F.col("text"))))
+    return with_lexicon_scores(table(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", *r6(compound=F.col("compound"), polarity=F.col("polarity")))
 
 
 def q12_codes(spark: SparkSession, d: str) -> DataFrame:
     """Codes of a category in sorted order and indicator of all but the first level, from the table of its levels."""
     x = prices(spark, d)
-    levels = x.select("coin").distinct().withColumn("code", F.row_number().over(Window.orderBy("coin")) - 1)
-    return x.join(levels, "coin").groupBy("coin", "code").agg(F.count("*").alias("n"), F.sum((F.col("code") > 0).cast("int")).alias("indicated"))
+    return x.join(sorted_codes(x, "coin"), "coin").groupBy("coin", "code").agg(F.count("*").alias("n"), F.sum((F.col("code") > 0).cast("int")).alias("indicated"))
 
 
 def f14_zscore(spark: SparkSession, d: str) -> DataFrame:
@@ -264,7 +265,7 @@ SQL = {
     "j10_positional": f"WITH {RET}, q AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY d) AS rn FROM ret), w AS (SELECT coin, arg_min(rn, (r, rn)) AS t0 FROM q WHERE r IS NOT NULL GROUP BY coin) SELECT coin, CAST(t0 AS INTEGER) AS t0, CAST(rn - t0 AS INTEGER) AS rel, d, {R6('r')} AS r FROM q JOIN w USING (coin) WHERE rn BETWEEN t0 - 3 AND t0 + 3",
     "a1_monthly": _comp("last_day(published)", "month_end"),
     "a2_weekly": _comp(FRI("published"), "week"),
-    "a3_coin_weekly": _comp(FRI("published"), "week", "coin, ", "AND coin IS NOT NULL"),
+    "a3_coin_weekly": f"WITH c AS ({_comp(FRI('published'), 'week', 'coin, ', 'AND coin IS NOT NULL')}), s AS (SELECT coin, CAST(unnest(generate_series(min(week)::TIMESTAMP, max(week)::TIMESTAMP, INTERVAL 7 DAY)) AS DATE) AS week FROM c GROUP BY coin) SELECT coin, week, coalesce(n_articles, 0) AS n_articles, linear, exp_hl7, polarity FROM s LEFT JOIN c USING (coin, week)",
     "a4_counts": "SELECT source, count(*) AS n FROM articles_scraped GROUP BY source",
     "a5_quantiles": f"WITH {PX} SELECT coin, {R6('quantile_cont(level, 0.1)')} AS q10, {R6('quantile_cont(level, 0.9)')} AS q90, {R6('median(level)')} AS med, {R6('avg(level)')} AS mean, {R6('stddev_samp(level)')} AS sd1, {R6('stddev_pop(level)')} AS sd0, {R6('min(level)')} AS lo, {R6('max(level)')} AS hi, count(DISTINCT d) AS days FROM px GROUP BY coin",
     "a8_nulls": "SELECT count(*) FILTER (WHERE close IS NULL) AS close_nulls, count(*) FILTER (WHERE loaded_at IS NULL) AS loaded_nulls, count(DISTINCT coin) AS coins, count(*) AS n FROM panel_prices",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from marlstone.functions.calendar import month_end, week_end
-from marlstone.operators.labels import decile_labels, tail_labels, last_value, momentum, monthly_forward, recovery_weights, scar_flags, trailing_volatility, weekly, with_returns
+from marlstone.operators.labels import decile_labels, tail_labels, last_value, momentum, monthly_forward, normalised, recovery_weights, scar_flags, trailing_volatility, weekly, with_returns
 from marlstone.operators.trailing import latest_readings
 from marlstone.operators.windows import along, average_rank, forward_fill, gap_clusters, rolling, rolling_weighted_mean, running_product, running_sum, top_k
 from marlstone.plans.prepare import settled
@@ -220,10 +220,8 @@ def d18_momentum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d19_normalised(spark: SparkSession, d: str) -> DataFrame:
-    """Series of at least 120 rows, relative to their first level."""
-    whole = Window.partitionBy("coin")
-    x = prices(spark, d).withColumns({"n": F.count("*").over(whole), "f": F.first("level").over(by_day())})
-    return x.filter("n >= 120").select("coin", "d", *r6(rel=F.col("level") / F.col("f")))
+    """Series of at least 200 rows, relative to their first level."""
+    return normalised(prices(spark, d)).select("coin", "d", *r6(rel=F.col("rel")))
 
 
 def d20_panel(spark: SparkSession, d: str) -> DataFrame:
@@ -283,7 +281,7 @@ SQL = {
     "d10_quantile": f"WITH {WEEKS}, {_LABEL} SELECT coin, week, CASE WHEN ret >= hi THEN 1 WHEN ret <= lo THEN -1 ELSE 0 END AS tail_label, {R6('z')} AS z FROM zz",
     "d11_global_z": f"WITH {WEEKS}, {_LABEL} SELECT coin, week, CASE WHEN z > 2 THEN 1 WHEN z < -2 THEN -1 ELSE 0 END AS tail_label, {R6('z')} AS z FROM zz",
     "d18_momentum": f"WITH {WEEKS} SELECT coin, week, {R6('ret')} AS mom1, {R6(roll('sum', 'ret', 4, None, 'week'))} AS mom4 FROM wk",
-    "d19_normalised": f"WITH {PX} SELECT coin, d, {R6('level / f')} AS rel FROM (SELECT *, count(*) OVER (PARTITION BY coin) AS n, first_value(level) OVER ({_C} d) AS f FROM px) WHERE n >= 120",
+    "d19_normalised": f"WITH {PX} SELECT coin, d, {R6('level / f')} AS rel FROM (SELECT *, count(*) OVER (PARTITION BY coin) AS n, first_value(level) OVER ({_C} d) AS f FROM px) WHERE n >= 200",
     "d20_panel": f"WITH {SCAR}, {SENT}, ow AS (SELECT coin, {FRI('week')} AS week, avg(s) AS own, sum(n) AS n FROM sen GROUP BY ALL), sh AS (SELECT week, avg(own) AS shared FROM ow GROUP BY week) SELECT coin, week, tail_down, n, {R6('own')} AS own, {R6('shared')} AS shared FROM lab LEFT JOIN ow USING (coin, week) LEFT JOIN sh USING (week)",
     "a13_base_rate": f"WITH {SCAR} SELECT coin, count(*) AS weeks, {R6('avg(tail_down)')} AS base_rate, avg(tail_down) BETWEEN 0.05 AND 0.15 AS in_band FROM lab GROUP BY coin",
     "s8_periods": f"WITH {PX}, b AS (SELECT min(d) AS a, max(d) AS b FROM px) " + " UNION ALL ".join(f"SELECT {n} AS months, CAST(x AS DATE) AS first, CAST(x + INTERVAL {n} MONTH AS DATE) AS next FROM (SELECT unnest(generate_series(date_trunc('month', a)::TIMESTAMP, b::TIMESTAMP, INTERVAL {n} MONTH)) AS x FROM b)" for n in (1, 3)),

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.plans.series import R6, r6
+from marlstone.session import shared_folder
 from marlstone.sources.tables import table
 from marlstone.streaming.weekly import run_available
 
 
 def st_weekly(spark: SparkSession, d: str) -> DataFrame:
     """Weekly totals of events by type, read as a stream."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-stream-")
-    x = run_available(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, f"{base}/{uuid.uuid4().hex}", "ts", "event_type", "value")
+    x = run_available(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, f"{shared_folder(spark)}/{uuid.uuid4().hex}", "ts", "event_type", "value")
     return x.select("week", "event_type", F.col("n"), *r6(total=F.round("total", 4), mean=F.col("mean")))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which the small side of a join is broadcast; beyond it the join shuffles.
+#: Rows and bytes of values up to which the small side of a join is broadcast; beyond either the join shuffles.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def get_session(app: str = "marlstone", cpus: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -27,28 +30,41 @@ def get_session(app: str = "marlstone", cpus: str = "*", shuffle_partitions: int
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so that lost executors cost no recomputation.
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir, or the checkpoint folder already set.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share. Only where
-    neither it nor a checkpoint folder is set (tests on local mode) a temporary one is made.
+    Only where neither is set and there is one machine (tests in local mode) a temporary one is
+    made, one for the application, and removed when the driver ends.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder:
+        return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], True)
+    return _own[sc.applicationId]
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in ``shared_folder``, so that lost executors cost no recomputation."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="marlstone-ckpt-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows, else leave the choice to Catalyst.
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``max_rows`` rows and ``max_bytes`` bytes of values, else leave the choice to Catalyst.
 
-    ``df`` should be cheap to count (a checkpoint or a small table).
+    Both are measured in one aggregate; ``df`` should be cheap to read (a checkpoint or a small table).
     """
-    seen = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if seen <= max_rows else df
+    wide = [F.octet_length(F.col(f"`{c}`").cast("string")) for c, kind in df.dtypes if kind in ("string", "binary") or kind.startswith(("array", "struct", "map"))]
+    fixed = F.lit(8 * (len(df.columns) - len(wide)))
+    n, size = df.agg(F.count("*"), F.sum(sum((F.coalesce(w, F.lit(0)) for w in wide), fixed).cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df

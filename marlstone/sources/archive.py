@@ -12,10 +12,13 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def read_through(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The parquet table at ``path``; made and written first if it is not there."""
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs):
-        make().write.parquet(path)
+    """The parquet table at ``path``; made and written first unless a finished one is there.
+
+    A table counts as finished if its writer left ``_SUCCESS``; what a broken run left is written over.
+    """
+    mark = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 

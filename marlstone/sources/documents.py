@@ -57,9 +57,37 @@ def rss_items(df: DataFrame, xml: str, snippet_chars: int = 240) -> DataFrame:
 
 
 def meta_description(html: Column) -> Column:
-    """Content of the description meta tag, else of og:description."""
+    """Content of the description meta tag, else of og:description; NULL if neither has any.
+
+    The tags are found first (a quoted value may hold ``>``), then each one's attributes are read in
+    any order: values in either quotes, which end at the same quote, or bare.
+    """
+    tags = F.regexp_extract_all(html, F.lit(r"""(?is)<meta\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0))
+
+    def value(tag: Column, names: str) -> Column:
+        pattern = rf"""(?is)[\s"'/](?:{names})\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
     def by(name: str) -> Column:
-        got = F.regexp_extract(html, rf"""(?is)<meta[^>]*(?:name|property)\s*=\s*["']{name}["'][^>]*content\s*=\s*["']([^"']*)["']""", 1)
-        return F.when(got != "", strip_html(got))
+        fits = F.filter(tags, lambda t: (F.lower(F.trim(value(t, "name|property"))) == name) & (F.trim(value(t, "content")) != ""))
+        return strip_html(value(F.get(fits, F.lit(0)), "content"))
 
     return F.coalesce(by("description"), by("og:description"))
+
+
+def enriched(df: DataFrame, snippet: str, html: str, cap: int | None = 50, order: str | None = None, chars: int = 240) -> DataFrame:
+    """``df`` with empty snippets taken from their page's description, cut to ``chars``; the first ``cap`` empty ones in ``order``.
+
+    ``cap`` is how many pages a run may fetch (None: all); rows beyond it and pages without a
+    description keep their snippet. The rows to enrich are chosen by a top-k, not by a global sort;
+    only their ``cap`` keys come to the driver.
+    """
+    empty = F.coalesce(F.trim(snippet), F.lit("")) == ""
+    made = F.substring(meta_description(F.col(html)), 1, chars)
+    if cap is None:
+        return df.withColumn(snippet, F.when(empty, F.coalesce(made, F.col(snippet))).otherwise(F.col(snippet)))
+    if order is None:
+        raise ValueError("a cap needs an order")
+    first = [r[0] for r in df.filter(empty).select(order).orderBy(order).limit(cap).collect()]
+    chosen = empty & F.col(order).isin(first)
+    return df.withColumn(snippet, F.when(chosen, F.coalesce(made, F.col(snippet))).otherwise(F.col(snippet)))

@@ -97,3 +97,9 @@ def test_grid(spark, cumulative):
 
 def test_grid_empty(spark):
     assert regrid_weekly(spark.createDataFrame([], SCHEMA), "coin", "day", "v", "w", "loaded").count() == 0
+
+
+def test_infinite_readings_are_missing(spark):
+    rows = [("a", date(2021, 1, 1), float("inf"), 1.0), ("a", date(2021, 1, 2), 2.0, float("-inf")), ("a", date(2021, 1, 3), 3.0, 1.0)]
+    out = {r.day: r for r in trailing_totals(spark.createDataFrame(rows, "coin string, day date, v double, w double"), "coin", "day", ["v", "w"]).collect()}
+    assert set(out) == {date(2021, 1, 2), date(2021, 1, 3)} and out[date(2021, 1, 3)].v_sum_7 == 5.0 and out[date(2021, 1, 2)].w_sum_7 is None

@@ -117,3 +117,82 @@ def test_recovery_weights(spark):
         target = levels[t] + 0.5 * (levels[t - 1] - levels[t])
         tau = next((s for s in range(1, 11) if t + s < len(levels) and levels[t + s] >= target), 10)
         assert w == tau / 10
+
+
+def test_asof_in_buckets_equals_asof(spark):
+    from marlstone.operators.joins import asof_forward_split
+
+    rng = random.Random(2)
+    left = [(rng.choice("ab"), day(rng.randrange(900))) for _ in range(60)] + [("c", day(1)), ("a", None)]
+    right = [(rng.choice("ab"), day(rng.randrange(800))) for _ in range(12)] + [("a", None)]
+    l, r = spark.createDataFrame(left, "k string, t date"), spark.createDataFrame(right, "k string, d date")  # noqa: E741
+    key = lambda x: (x.k, x.t or date.min, x.matched or date.min)
+    for days in (1, 16, 64, 5000):
+        assert sorted(map(key, asof_forward_split(l, r, ["k"], "t", "d", bucket_days=days).collect())) == sorted(map(key, asof_forward(l, r, ["k"], "t", "d").collect()))
+    got = asof_forward_split(l.select("t").distinct(), r, [], "t", "d").collect()
+    days = sorted(d for _, d in right if d)
+    assert all(x.matched == next((d for d in days if x.t and d >= x.t), None) for x in got)
+    assert asof_forward_split(l.limit(0), r, [], "t", "d").count() == 0 and asof_forward_split(l, r.limit(0), ["k"], "t", "d").filter("matched is not null").count() == 0
+
+
+def test_codes_and_ranks_spread_over_ranges(spark):
+    from marlstone.operators import kernels as K
+    from marlstone.operators.metrics import metrics, roc_points
+    from marlstone.operators.windows import sorted_codes
+    import numpy as np
+
+    words = ["b", "a", "a", None, "zz", "c"] + [f"w{k:03d}" for k in range(200)]
+    got = {r.w: r.code for r in sorted_codes(spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()}
+    assert got == {w: k for k, w in enumerate([None, *sorted({w for w in words if w})])}
+    assert sorted_codes(spark.createDataFrame([], "w string"), "w").count() == 0
+    rng = np.random.default_rng(1)
+    p, y = np.round(rng.random(3000), 3), (rng.random(3000) < 0.3).astype(int)
+    keys = [None if k % 3 else "g" for k in range(3000)]
+    df = spark.createDataFrame([(k, float(a), int(b)) for k, a, b in zip(keys, p, y)], "k string, p double, y int")
+    for r in metrics(df, ["k"]).collect():
+        mine = np.array([x == r.k for x in keys])
+        assert abs(r.auc - K.auc(y[mine].astype(float), p[mine])) < 1e-12 and r.n == mine.sum()
+    top = roc_points(df, ["k"]).groupBy("k").agg(F.max("tpr").alias("t"), F.max("fpr").alias("f")).collect()
+    assert len(top) == 2 and all(r.t == 1 and r.f == 1 for r in top)
+    assert metrics(df.limit(0), ["k"]).count() == 0
+
+
+def test_description_in_any_order_and_quote(spark):
+    from marlstone.sources.documents import enriched
+
+    pages = [
+        ('<meta content="first" name="description">', "first"), ("<meta name=description content=bare>", "bare"), ("<meta name='description' content=\"it's up > now\">", "it's up > now"),
+        ('<META NAME="Description" CONTENT="caps">', "caps"), ('<meta name="description" content=""><meta property="og:description" content="og">', "og"), ('<meta name="keywords" content="no">', None), ('<meta charset="x"><meta data-name="description" content="no">', None), ("", None), (None, None),
+        ('<meta property=og:description content="a &amp; b"/>', "a & b"),
+    ]
+    got = spark.createDataFrame(pages, "h string, want string").select("want", meta_description(F.col("h")).alias("m")).collect()
+    assert all(r.m == r.want for r in got), got
+    rows = spark.createDataFrame([(k, s, '<meta name="description" content="from the page">') for k, s in enumerate([None, "own", "", " ", None])], "id int, snippet string, html string")
+    assert [r.snippet for r in enriched(rows, "snippet", "html", 2, "id").orderBy("id").collect()] == ["from the page", "own", "from the page", " ", None]
+    assert enriched(rows, "snippet", "html", None).filter("snippet = 'from the page'").count() == 4
+
+
+def test_broken_cache_is_made_again(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "part-0.parquet").write_text("half")
+    assert read_through(spark, str(tmp_path / "t"), lambda: spark.range(3)).count() == 3
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    from marlstone.session import small_side
+
+    hinted = lambda df, **k: "ResolvedHint" in small_side(df, **k)._jdf.queryExecution().analyzed().toString()
+    df = spark.createDataFrame([("x" * 1000, 1)] * 5, "v string, n int")
+    assert hinted(df) and not hinted(df, max_bytes=4000) and not hinted(df, max_rows=4) and hinted(df.limit(0))
+
+
+def test_late_rows_and_resumed_stream(spark, tmp_path):
+    from datetime import datetime
+
+    schema = "ts timestamp, k string, v double"
+    put = lambda name, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    put("a", [(datetime(2024, 1, 5), "k", 1.0), (datetime(2024, 3, 1), "k", 2.0)])
+    run = lambda: {(str(r.week), r.n) for r in run_available(spark, str(tmp_path / "in" / "*"), spark.createDataFrame([], schema).schema, str(tmp_path / "w"), "ts", "k", "v").collect()}
+    assert run() == {("2024-01-05", 1), ("2024-03-01", 1)}
+    put("b", [(datetime(2024, 1, 4), "k", 9.0), (datetime(2024, 2, 29), "k", 5.0)])  # the first is too late, the second in time
+    assert run() == {("2024-01-05", 1), ("2024-03-01", 2)}
