@@ -13,56 +13,67 @@ from pyspark.sql import functions as F
 from marlstone.operators import kernels as K
 
 
-def walk_forward(df: DataFrame, key: str, week: str, specs: dict[str, list[str]], half_lives: tuple[float, ...] = (104.0,), min_train: int = 60, min_events: int = 4, tail: float = 0.10, embargo: int = 4, block: int = 52, balanced: bool = False) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Groups of ``keys`` over all shuffle partitions: small in bytes but long to fit, they must not be coalesced by size."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def walk_forward(df: DataFrame, key: str, week: str, specs: dict[str, list[str]], half_lives: tuple[float, ...] = (104.0,), min_train: int = 60, min_events: int = 4, tail: float = 0.10, embargo: int = 4, block: int = 52, balanced: bool = False, known: str | None = None) -> DataFrame:
     """One-step-ahead predictions: ``key``, ``spec``, ``half_life``, ``week``, ``y``, ``p``, ``n_train``, ``n_train_events``.
 
     ``df`` holds ``ret_1w``, ``ret_1w_fwd``, ``scar`` and the features of all specs. Step k trains on
     the rows before it whose outcome is known by then: all but the last ``embargo - 1`` of them
-    (``embargo=0`` keeps all). The tail threshold, the moments and the weights 0.5^(age / half life)
-    come from the training rows alone. All specs use the same rows, those without any NULL.
-
-    Steps are cut into blocks; a group is one (key, spec, half life, block) and gets the key's rows up
-    to the block's end. One key's series is a few thousand weeks at most.
+    (``embargo=0`` keeps all), or with ``known``, a column of the day on which a row's outcome is
+    settled, those settled by week k (NULL: never), however many rows or days lie between. The tail
+    threshold, the moments and the weights 0.5^(age / half life) come from the training rows alone.
+    All specs use the same rows, those without any NULL in features, returns or scar.
+
+    Steps are cut into blocks; a group is one (key, block), gets the key's rows up to the block's end
+    once, and fits all specs and half-lives, each half-life from where the one before ended. One key's
+    series is a few thousand weeks at most.
     """
     features = sorted({c for cols in specs.values() for c in cols})
     kinds = dict(df.dtypes)
-    use = df.select(key, week, "ret_1w", "ret_1w_fwd", F.col("scar").cast("int").alias("scar"), *features).na.drop()
+    seen = [F.col(known).cast("date").alias("__known")] if known else []
+    need = [key, week, "ret_1w", "ret_1w_fwd", "scar", *features]
+    use = df.select(key, week, "ret_1w", "ret_1w_fwd", F.col("scar").cast("int").alias("scar"), *features, *seen).na.drop(subset=need)
     order = F.row_number().over(Window.partitionBy(key).orderBy(week)) - 1
     total = F.count("*").over(Window.partitionBy(key))
     use = use.withColumns({"__k": order, "__n": total}).filter(F.col("__n") > min_train)
     last_block = F.floor((F.col("__n") - 1) / block)
-    use = use.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__k") / block), last_block)))
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(h).alias("half_life")) for s in specs for h in half_lives])).alias("__g")
-    use = use.select("*", grid).select(*use.columns, "__g.spec", "__g.half_life")
+    use = use.withColumn("__block", F.explode(F.sequence(F.floor(F.greatest(F.col("__k"), F.lit(min_train)) / block), last_block)))
     names = [key, "spec", "half_life", week, "y", "p", "n_train", "n_train_events"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__k")
-        spec, hl, b = pdf["spec"].iloc[0], float(pdf["half_life"].iloc[0]), int(pdf["__block"].iloc[0])
-        x = pdf[specs[spec]].to_numpy(dtype=float)
+        b = int(pdf["__block"].iloc[0])
+        columns = {spec: pdf[cols].to_numpy(dtype=float) for spec, cols in specs.items()}
         r, fwd, scar = pdf["ret_1w"].to_numpy(), pdf["ret_1w_fwd"].to_numpy(), pdf["scar"].to_numpy() > 0
         when = pd.to_datetime(pdf[week]).to_numpy()
+        settled = pd.to_datetime(pdf["__known"]).to_numpy() if known else None
         rows = []
         for k in range(max(min_train, b * block), min(len(pdf), (b + 1) * block)):
-            n = k - max(embargo - 1, 0)
+            use = np.nonzero(settled[:k] <= when[k])[0] if known else np.arange(max(0, k - max(embargo - 1, 0)))
+            n = len(use)
             if n < 2:
                 continue
-            lo = np.quantile(r[:n], tail)
-            y = ((fwd[:n] <= lo) & scar[:n]).astype(float)
+            lo = np.quantile(r[use], tail)
+            y = ((fwd[use] <= lo) & scar[use]).astype(float)
             if y.sum() < min_events or y.sum() == n:
                 continue
-            mean, sd = x[:n].mean(axis=0), x[:n].std(axis=0)
-            age = (when[k] - when[:n]) / np.timedelta64(7, "D")
-            w = 0.5 ** (age / hl)
-            if balanced:
-                w = w * np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
-            beta = K.fit_logit(K.with_constant(K.zscore(x[:n], mean, sd)), y, w, ridge=1.0)[0]
-            p = K.sigmoid(K.with_constant(K.zscore(x[k : k + 1], mean, sd)) @ beta)[0]
-            rows.append([pdf[key].iloc[0], spec, hl, pdf[week].iloc[k], int(fwd[k] <= lo and scar[k]), float(p), n, int(y.sum())])
+            age = (when[k] - when[use]) / np.timedelta64(7, "D")
+            even = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum()))) if balanced else 1.0
+            for spec, x in columns.items():
+                mean, sd = x[use].mean(axis=0), x[use].std(axis=0)
+                design, at = K.with_constant(K.zscore(x[use], mean, sd)), K.with_constant(K.zscore(x[k : k + 1], mean, sd))
+                beta = None
+                for hl in half_lives:
+                    beta = K.fit_logit(design, y, 0.5 ** (age / hl) * even, ridge=1.0, start=beta)[0]
+                    rows.append([pdf[key].iloc[0], spec, hl, pdf[week].iloc[k], int(fwd[k] <= lo and scar[k]), float(K.sigmoid(at @ beta)[0]), n, int(y.sum())])
         return pd.DataFrame(rows, columns=names)
 
     schema = f"{key} {kinds[key]}, spec string, half_life double, {week} {kinds[week]}, y int, p double, n_train int, n_train_events int"
-    return use.groupBy(key, "spec", "half_life", "__block").applyInPandas(run, schema)
+    return spread(use, key, "__block").groupBy(key, "__block").applyInPandas(run, schema)
 
 
 def in_sample(df: DataFrame, key: str, week: str, specs: dict[str, list[str]], tail: float = 0.10) -> DataFrame:
@@ -120,27 +131,36 @@ def permutation_p(df: DataFrame, keys: list[str], order: str, y: str, x: list[st
         return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], beyond, done, real]], columns=[*keys, "beyond", "done", "coefficient"])
 
     schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "beyond bigint", "done bigint", "coefficient double"])
-    made = d.groupBy(*keys, "__chunk").applyInPandas(run, schema)
+    made = spread(d, *keys, "__chunk").groupBy(*keys, "__chunk").applyInPandas(run, schema)
     return made.groupBy(*keys).agg(F.first("coefficient").alias("coefficient"), ((F.sum("beyond") + 1) / (F.sum("done") + 1)).alias("p"), F.sum("done").alias("replicates"))
 
 
 def spearman_permutation(df: DataFrame, keys: list[str], x: str, y: str, replicates: int = 2000, seed: int = 5) -> DataFrame:
-    """Spearman's rho per key and its permutation p; keys of four rows at least."""
+    """Spearman's rho per key and its permutation p; keys of four rows at least, and of some spread.
+
+    Every replicate has its own seed, so results do not depend on how replicates are spread over tasks.
+    """
     kinds = dict(df.dtypes)
+    per_task = 1000
+    names = [*keys, "n", "rho", "beyond", "done"]
+    d = df.select(*keys, x, y).na.drop().withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // per_task) - 1))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([x, y])
         a, b = pdf[x].to_numpy(dtype=float), pdf[y].to_numpy(dtype=float)
         rho = K.spearman(a, b) if len(a) >= 4 else math.nan
         if not math.isfinite(rho):
-            return pd.DataFrame(columns=[*keys, "n", "rho", "p"])
-        rng = np.random.default_rng(seed)
+            return pd.DataFrame(columns=names)
         ra, rb = K.ranks(a), K.ranks(b)
         ra, rb = (ra - ra.mean()) / ra.std(), (rb - rb.mean()) / rb.std()
-        hits = sum(abs((ra * rng.permutation(rb)).mean()) >= abs(rho) - 1e-12 for _ in range(replicates))
-        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], len(a), rho, (hits + 1) / (replicates + 1)]], columns=[*keys, "n", "rho", "p"])
-
-    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n bigint", "rho double", "p double"])
-    return df.select(*keys, x, y).na.drop().groupBy(*keys).applyInPandas(run, schema)
+        first = int(pdf["__chunk"].iloc[0]) * per_task
+        numbers = range(first, min(replicates, first + per_task))
+        hits = sum(abs((ra * np.random.default_rng([seed, k]).permutation(rb)).mean()) >= abs(rho) - 1e-12 for k in numbers)
+        return pd.DataFrame([[*[pdf[k].iloc[0] for k in keys], len(a), rho, hits, len(numbers)]], columns=names)
+
+    schema = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n bigint", "rho double", "beyond bigint", "done bigint"])
+    made = spread(d, *keys, "__chunk").groupBy(*keys, "__chunk").applyInPandas(run, schema)
+    return made.groupBy(*keys).agg(F.first("n").alias("n"), F.first("rho").alias("rho"), ((F.sum("beyond") + 1) / (F.sum("done") + 1)).alias("p"))
 
 
 def calibrated_intercept(rate: float, slope: float, points: int = 2001) -> float:

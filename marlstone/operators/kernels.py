@@ -34,16 +34,17 @@ def with_constant(x: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(x)), x])
 
 
-def fit_logit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.0, iterations: int = 100) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_logit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.0, iterations: int = 100, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """Newton fit of a logistic model whose first column is the constant: coefficients, covariance, log likelihood.
 
     ``ridge`` penalises squares of all but the constant by ridge/2, as 1/C does. Steps that lower the
-    objective are halved, so separated data stop at large but finite coefficients.
+    objective are halved, so separated data stop at large but finite coefficients. ``start`` are the
+    coefficients to begin with (default: zero); the solution does not depend on them.
     """
     w = np.ones(len(y)) if weight is None else weight
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 0.0
-    b = np.zeros(x.shape[1])
+    b = np.zeros(x.shape[1]) if start is None else start
 
     def objective(c: np.ndarray) -> float:
         e = x @ c

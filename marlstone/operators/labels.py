@@ -64,11 +64,12 @@ def last_value(x: str, day: str = "d") -> Column:
 
 
 def scar_flags(df: DataFrame, key: str = "coin", day: str = "d", level: str = "level", fraction: float = 0.5, observations: int = 15) -> DataFrame:
-    """``key``, ``week``, ``ret_1w``, ``ret_1w_fwd``, ``scar``, ``resolved`` for all weeks but a key's last; needs ``r``.
+    """``key``, ``week``, ``ret_1w``, ``ret_1w_fwd``, ``scar``, ``resolved``, ``known`` for all weeks but a key's last; needs ``r``.
 
     scar: the low of the next week lies below this week's last level and none of the next
     ``observations`` rows after that low regains ``fraction`` of the fall. Too few rows left to tell
-    count as a scar (``resolved`` is then false). If the week's Friday has no row, the next week's
+    count as a scar (``resolved`` is then false). ``known`` is the day on which the outcome is settled:
+    the end of the next week, or after a fall the day of the last of those rows; NULL if they never came. If the week's Friday has no row, the next week's
     first row opens the segment and is not part of it.
     """
     win = along([key], day)
@@ -76,15 +77,15 @@ def scar_flags(df: DataFrame, key: str = "coin", day: str = "d", level: str = "l
     ahead = win.rowsBetween(1, observations)
     prev = F.lag(day).over(win)
     opening = F.coalesce((week_end(prev) < week_end(F.col(day))) & (prev != F.date_sub(week_end(F.col(day)), 7)), F.lit(False))
-    marked = df.withColumns({"__best": F.max(level).over(ahead), "__left": F.count(level).over(ahead), "__opens": opening})
-    low = F.min(F.struct(F.col(level).alias("v"), F.col(day).alias("d"), F.col("__best").alias("best"), F.col("__left").alias("left")))
+    marked = df.withColumns({"__best": F.max(level).over(ahead), "__left": F.count(level).over(ahead), "__end": F.lead(day, observations).over(win), "__opens": opening})
+    low = F.min(F.struct(F.col(level).alias("v"), F.col(day).alias("d"), F.col("__best").alias("best"), F.col("__left").alias("left"), F.col("__end").alias("end")))
     lows = marked.filter(~F.col("__opens")).groupBy(key, F.date_sub(week_end(F.col(day)), 7).alias("week")).agg(low.alias("low"))
     nxt = F.lead("ret_1w").over(along([key], "week"))
     d = weeks.withColumn("ret_1w_fwd", nxt).filter(F.col("ret_1w_fwd").isNotNull()).join(lows, [key, "week"], "left")
     target = F.col("low.v") + fraction * (F.col("start") - F.col("low.v"))
     fell = F.coalesce(F.col("low.v") < F.col("start"), F.lit(False))
     regained = F.coalesce(F.col("low.best") >= target, F.lit(False))
-    return d.select(key, "week", "ret_1w", "ret_1w_fwd", (fell & ~regained).alias("scar"), (~fell | regained | (F.col("low.left") >= observations)).alias("resolved"))
+    return d.select(key, "week", "ret_1w", "ret_1w_fwd", (fell & ~regained).alias("scar"), (~fell | regained | (F.col("low.left") >= observations)).alias("resolved"), F.when(fell, F.greatest("low.end", F.when(F.col("low.end").isNotNull(), F.date_add("week", 7)))).otherwise(F.date_add("week", 7)).alias("known"))
 
 
 def decile_labels(flags: DataFrame, key: str = "coin", tail: float = 0.10) -> DataFrame:

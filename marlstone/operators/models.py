@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.operators import kernels as K
+from marlstone.session import durable, small_side
 
 
 def grouped_logit(df: DataFrame, keys: list[str], y: str, x: list[str], firth: bool = False, compat: bool = False, least_rows: int = 10, least_events: int = 2) -> DataFrame:
@@ -70,116 +70,142 @@ def split_logit(df: DataFrame, keys: list[str], order: str, y: str, x: list[str]
     return df.select(*keys, order, y, *x).na.drop().groupBy(*keys).applyInPandas(fit, schema)
 
 
-def _moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    row = df.agg(*[F.avg(c).alias(f"m{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"s{k}") for k, c in enumerate(columns)]).collect()[0]
-    n = len(columns)
-    return np.array([row[f"m{k}"] or 0.0 for k in range(n)]), np.array([row[f"s{k}"] or 1.0 for k in range(n)])
+def _products(names: list[str]) -> list[tuple[str, str]]:
+    """The pairs of a symmetric matrix, one of each."""
+    return [(a, b) for i, a in enumerate(names) for b in names[i:]]
 
 
-def _summed(df: DataFrame, columns: list[str], part) -> np.ndarray:
-    """Sum over all rows of ``part(array of columns)`` (a fixed-length vector), combined within tasks and then by position."""
+def _matrix(row, names: list[str], prefix: str) -> np.ndarray:
+    m = np.zeros((len(names), len(names)))
+    for a, b in _products(names):
+        i, j = names.index(a), names.index(b)
+        m[i, j] = m[j, i] = row[f"{prefix}{i}_{j}"] or 0.0
+    return m
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in batches:
-            if len(pdf):
-                v = part(pdf[columns].to_numpy(dtype=float))
-                total = v if total is None else total + v
-        if total is not None:
-            yield pd.DataFrame({"k": np.arange(len(total)), "v": total})
 
-    rows = df.select(*columns).mapInPandas(partial, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(max((r["k"] for r in rows), default=-1) + 1)
-    for r in rows:
-        out[r["k"]] = r["v"]
-    return out
+def _cross(names: list[str], prefix: str, by: Column) -> list[Column]:
+    return [F.sum(F.col(a) * F.col(b) * by).alias(f"{prefix}{names.index(a)}_{names.index(b)}") for a, b in _products(names)]
 
 
-def pooled_logit(df: DataFrame, y: str, x: list[str], clusters: list[str] | None = None, fixed_effects: str | None = None, weight: str | None = None, ridge: float = 0.0, iterations: int = 25, max_levels: int = 2000) -> DataFrame:
-    """Logit on all rows with optional fixed effects and cluster-robust errors: feature, odds_ratio, lo, hi, p, n, events.
+def pooled_logit(df: DataFrame, y: str, x: list[str], clusters: list[str] | None = None, fixed_effects: str | None = None, weight: str | None = None, ridge: float = 0.0, iterations: int = 50, tolerance: float = 1e-8) -> DataFrame:
+    """Logit on all rows with optional fixed effects and cluster-robust errors: feature, odds_ratio, lo, hi, p, n, events, converged.
 
-    Newton steps on sums that every task forms over its own rows, so only k x k numbers reach the
-    driver, however many rows there are. Features are per deviation. Errors: model-based; with one
-    of ``clusters`` the sandwich over its groups; with two, both minus their intersection. The
-    first level of ``fixed_effects`` in sorted order is the base; its levels are bounded by
-    ``max_levels``.
+    Newton steps on sums of built-in aggregates with map-side combining: k x k numbers for k features
+    reach the driver a step, however many rows and levels there are. Features are per deviation.
+
+    Fixed effects are eliminated: each step sums by level, a level's own effect is solved for given
+    the features' (the Schur complement of its diagonal block), and only the table of levels, which
+    is cut by a checkpoint, carries the effects to the next step. So any number of levels is exact.
+    Levels whose outcome never varies have an infinite effect and say nothing of the features; their
+    rows count in n and events. ``ridge`` penalises the features, not constant or effects.
+
+    Errors: model-based; with one of ``clusters`` the sandwich over its groups; with two, both minus
+    their intersection (features freed of the effects first, which gives the same block as all
+    dummies do); with (G / (G - 1)) ((n - 1) / (n - k)), k with the effects. Rows with a NULL are left
+    out; without any row, or without both outcomes, the result is empty. ``converged`` tells whether
+    the last step was below ``tolerance``: separated data never get there.
     """
-    d = df.select(*dict.fromkeys([y, *x, *(clusters or []), *([fixed_effects] if fixed_effects else []), *([weight] if weight else [])])).na.drop().cache()
-    mean, sd = _moments(d, x)
-    levels = []
-    if fixed_effects:
-        found = [r[0] for r in d.select(fixed_effects).distinct().orderBy(fixed_effects).limit(max_levels + 1).collect()]
-        if len(found) > max_levels:
-            raise ValueError(f"more than {max_levels} levels of {fixed_effects}")
-        levels = found[1:]
-        codes = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in found]), F.col(fixed_effects)), F.lit(0)).cast("double") - 1
-        d = d.withColumn("__fe", codes)
-    columns = [y, *x, *(["__fe"] if fixed_effects else []), *([weight] if weight else [])]
-    k = 1 + len(x) + len(levels)
-    penalty = np.full(k, ridge)
-    penalty[0] = 0.0
-
-    def design(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        m = np.zeros((len(a), k))
-        m[:, 0] = 1
-        m[:, 1 : 1 + len(x)] = (a[:, 1 : 1 + len(x)] - mean) / np.where(sd > 0, sd, 1)
-        if levels:
-            code = a[:, 1 + len(x)].astype(int)
-            hit = code > 0
-            m[np.nonzero(hit)[0], len(x) + code[hit]] = 1
-        return m, a[:, 0], a[:, -1] if weight else np.ones(len(a))
-
-    b = np.zeros(k)
-    for _ in range(iterations):
-
-        def step(a: np.ndarray, b: np.ndarray = b) -> np.ndarray:
-            m, t, w = design(a)
-            p = K.sigmoid(m @ b)
-            return np.concatenate([m.T @ (w * (t - p)), ((m * (w * p * (1 - p))[:, None]).T @ m).ravel(), [len(t), t.sum()]])
-
-        total = _summed(d, columns, step)
-        if not len(total):
-            break
-        g, h = total[:k] - penalty * b, total[k : k + k * k].reshape(k, k) + np.diag(penalty)
-        move = np.linalg.pinv(h) @ g
-        b = b + move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-12))
-        if np.abs(move).max() < 1e-8:
-            break
-    else:
-        total = _summed(d, columns, step)
-    if not len(total):
-        return df.sparkSession.createDataFrame([], "feature string, odds_ratio double, lo double, hi double, p double, n bigint, events bigint")
-    cov = np.linalg.pinv(total[k : k + k * k].reshape(k, k) + np.diag(penalty))
-
-    def meat(groups: list[str]) -> np.ndarray:
-        def scores(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                m, t, w = design(pdf[columns].to_numpy(dtype=float))
-                s = m * (w * (t - K.sigmoid(m @ b)))[:, None]
-                out = pdf[groups].copy()
-                for j in range(k):
-                    out[f"s{j}"] = s[:, j]
-                yield out
-
-        kinds = dict(d.dtypes)
-        names = [f"s{j}" for j in range(k)]
-        per = d.mapInPandas(scores, ", ".join([*[f"{g} {kinds[g]}" for g in groups], *[f"{n} double" for n in names]])).groupBy(*groups).agg(*[F.sum(n).alias(n) for n in names])
-        many = per.count()
-        out = _summed(per, names, lambda a: (a.T @ a).ravel()).reshape(k, k)
-        n = total[-2]
-        return out * (many / max(many - 1, 1)) * ((n - 1) / max(n - k, 1))
-
-    if clusters:
-        middle = meat(clusters[:1])
-        if len(clusters) > 1:
-            middle = middle + meat(clusters[1:2]) - meat(clusters[:2])
+    groups = clusters or []
+    if not fixed_effects:  # the constant is one more feature then, unpenalised and not reported
+        x = [*x, "__one"]
+        df = df.withColumn("__one", F.lit(1.0))
+    use = df.select(F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(f"__r{k}") for k, c in enumerate(x)], *[F.col(c).alias(f"__c{k}") for k, c in enumerate(groups)], *([F.col(fixed_effects).alias("__g")] if fixed_effects else []), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("__w"))
+    use = durable(use.na.drop())
+    schema = "feature string, odds_ratio double, lo double, hi double, p double, n bigint, events bigint, converged boolean"
+    head = use.agg(F.count("*").alias("n"), F.sum("__y").alias("events"), *[F.avg(f"__r{k}").alias(f"m{k}") for k in range(len(x))], *[F.stddev_pop(f"__r{k}").alias(f"s{k}") for k in range(len(x))]).first()
+    n, events = head["n"], head["events"] or 0.0
+    if not n or events in (0, n):
+        return df.sparkSession.createDataFrame([], schema)
+    scaled = [((F.col(f"__r{k}") - head[f"m{k}"]) / (head[f"s{k}"] or 1.0) if c != "__one" else F.lit(1.0)).alias(f"__x{k}") for k, c in enumerate(x)]
+    d = use.select("__y", "__w", *(["__g"] if fixed_effects else []), *[f"__c{k}" for k in range(len(groups))], *scaled)
+    names = [f"__x{k}" for k in range(len(x))]
+    penalty = np.array([0.0 if c == "__one" else ridge for c in x])
+    solve = _with_levels if fixed_effects else _without_levels
+    b, cov, free, converged, levels = solve(d, names, penalty, iterations, tolerance)
+
+    def meat(keys: list[str]) -> np.ndarray:
+        per = free.groupBy(*keys).agg(*[F.sum(F.col(c) * F.col("__e")).alias(c) for c in names])
+        row = per.agg(F.count("*").alias("many"), *_cross(names, "q", F.lit(1.0))).first()
+        many = row["many"]
+        return _matrix(row, names, "q") * (many / max(many - 1, 1)) * ((n - 1) / max(n - len(x) - levels, 1))
+
+    if groups:
+        middle = meat(["__c0"])
+        if len(groups) > 1:
+            middle = middle + meat(["__c1"]) - meat(["__c0", "__c1"])
         cov = cov @ middle @ cov
-    d.unpersist()
     rows = []
-    for j, name in enumerate(x, start=1):
-        se = math.sqrt(cov[j, j]) if cov[j, j] > 0 else math.nan
-        rows.append((name, math.exp(b[j]), math.exp(b[j] - 1.959964 * se), math.exp(b[j] + 1.959964 * se), K.normal_p(b[j] / se) if se and se == se else math.nan, int(total[-2]), int(total[-1])))
-    return df.sparkSession.createDataFrame(rows, "feature string, odds_ratio double, lo double, hi double, p double, n bigint, events bigint")
+    for j, name in enumerate(x):
+        if name != "__one":
+            se = math.sqrt(cov[j, j]) if cov[j, j] > 0 else math.nan
+            rows.append((name, math.exp(b[j]), math.exp(b[j] - 1.959964 * se), math.exp(b[j] + 1.959964 * se), K.normal_p(b[j] / se) if se and se == se else math.nan, int(n), int(events), converged))
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+#: What the functions below return: coefficients, inverse information, rows with features (freed of the
+#: effects) and residual ``__e``, whether the steps came to rest, and the number of levels.
+_Fit = tuple[np.ndarray, np.ndarray, DataFrame, bool, int]
+
+
+def _residuals(d: DataFrame, eta: Column) -> DataFrame:
+    d = d.withColumn("__p", 1 / (1 + F.exp(-F.greatest(F.least(eta, F.lit(500.0)), F.lit(-500.0)))))
+    return d.withColumns({"__h": F.col("__w") * F.col("__p") * (1 - F.col("__p")), "__e": F.col("__w") * (F.col("__y") - F.col("__p"))})
+
+
+def _without_levels(d: DataFrame, names: list[str], penalty: np.ndarray, iterations: int, tolerance: float) -> _Fit:
+    """Newton's method with one aggregate a step."""
+    b, converged = np.zeros(len(names)), False
+    while True:
+        rows = _residuals(d, sum((F.col(c) * float(v) for c, v in zip(names, b)), F.lit(0.0)))
+        row = rows.agg(*[F.sum(F.col("__e") * F.col(c)).alias(f"g{k}") for k, c in enumerate(names)], *_cross(names, "q", F.col("__h"))).first()
+        inverse = np.linalg.pinv(_matrix(row, names, "q") + np.diag(penalty))
+        if converged or iterations == 0:
+            return b, inverse, rows, converged, 0
+        move = inverse @ (np.array([row[f"g{k}"] for k in range(len(names))]) - penalty * b)
+        move = move * min(1.0, 3.0 / max(np.abs(move).max(), 1e-12))
+        b, iterations, converged = b + move, iterations - 1, bool(np.abs(move).max() < tolerance)
+
+
+def _with_levels(d: DataFrame, names: list[str], penalty: np.ndarray, iterations: int, tolerance: float) -> _Fit:
+    """The same with an effect for each ``__g``, eliminated in every step."""
+    levels = durable(d.groupBy("__g").agg(F.avg("__y").alias("__rate")).filter("__rate > 0 and __rate < 1").select("__g", F.ln(F.col("__rate") / (1 - F.col("__rate"))).alias("__a")))
+    total, k_all = levels.count(), range(len(names))
+    hinted = F.broadcast if small_side(levels) is not levels else lambda side: side
+    b, converged = np.zeros(len(names)), False
+    inv = F.when(F.col("__d") > 1e-300, 1 / F.col("__d"))
+
+    def fitted(side: DataFrame, b: np.ndarray) -> DataFrame:
+        """Rows with their probability and information; levels without variation drop out."""
+        return _residuals(d.join(hinted(side.withColumnRenamed("__g", "__l")), F.col("__g") == F.col("__l")), sum((F.col(c) * float(v) for c, v in zip(names, b)), F.col("__a")))
+
+    def by_level(levels: DataFrame, b: np.ndarray) -> DataFrame:
+        sums = fitted(levels, b).groupBy("__g").agg(
+            F.first("__a").alias("__a"), F.first("__m").alias("__m"), F.sum("__h").alias("__d"), F.sum("__e").alias("__s"),
+            *[F.sum(F.col("__h") * F.col(c)).alias(f"__c{k}") for k, c in enumerate(names)], *[F.sum(F.col("__e") * F.col(c)).alias(f"__s{k}") for k, c in enumerate(names)],
+            *_cross(names, "__h", F.col("__h")),
+        )
+        return durable(sums)
+
+    step = math.inf
+    sums = by_level(levels.withColumn("__m", F.lit(0.0)), b)
+    while True:
+        row = sums.agg(
+            F.max("__m").alias("m"), *[F.sum(F.col(f"__s{k}") - F.coalesce(F.col(f"__c{k}") * F.col("__s") * inv, F.lit(0.0))).alias(f"g{k}") for k in k_all],
+            *[F.sum(F.col(f"__h{i}_{j}") - F.coalesce(F.col(f"__c{i}") * F.col(f"__c{j}") * inv, F.lit(0.0))).alias(f"q{i}_{j}") for i in k_all for j in k_all if i <= j],
+        ).first()
+        inverse = np.linalg.pinv(_matrix(row, names, "q") + np.diag(penalty))
+        converged = max(step, row["m"] or 0.0) < tolerance
+        if converged or iterations == 0:
+            break
+        move = inverse @ (np.array([row[f"g{k}"] or 0.0 for k in k_all]) - penalty * b)
+        move = move * min(1.0, 3.0 / max(np.abs(move).max(), 1e-12))
+        shift = (F.col("__s") - sum((F.col(f"__c{k}") * float(v) for k, v in enumerate(move)), F.lit(0.0))) * inv
+        shift = F.coalesce(F.greatest(F.least(shift, F.lit(3.0)), F.lit(-3.0)), F.lit(0.0))
+        b, step, iterations = b + move, float(np.abs(move).max()), iterations - 1
+        sums = by_level(sums.select("__g", (F.col("__a") + shift).alias("__a"), F.abs(shift).alias("__m")), b)
+    side = sums.select("__g", "__a", *[F.coalesce(F.col(f"__c{k}") * inv, F.lit(0.0)).alias(f"__u{k}") for k in k_all])
+    free = fitted(side, b).withColumns({c: F.col(c) - F.col(f"__u{k}") for k, c in enumerate(names)})
+    return b, inverse, free, converged, total
 
 
 def grouped_quantiles(df: DataFrame, keys: list[str], y: str, x: list[str], taus: tuple[float, ...] = (0.05, 0.10, 0.25, 0.50), least_rows: int = 30) -> DataFrame:

@@ -106,7 +106,7 @@ def d12_evt(spark: SparkSession, d: str) -> DataFrame:
 
 def h1_walk_forward(spark: SparkSession, d: str) -> DataFrame:
     """One-step-ahead predictions for all specs and half-lives (H1 to H3)."""
-    return walk_forward(features(spark, d), "asset", "week", SPECS, (26.0, 52.0, 104.0, 208.0, 1e9))
+    return walk_forward(features(spark, d), "asset", "week", SPECS, (26.0, 52.0, 104.0, 208.0, 1e9), known="known")
 
 
 def h1_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +117,7 @@ def h1_scores(spark: SparkSession, d: str) -> DataFrame:
 def h4_weights(spark: SparkSession, d: str) -> DataFrame:
     """Plain against balanced class weights."""
     x = durable(features(spark, d))
-    parts = [metrics(durable(walk_forward(x, "asset", "week", {"all": SPECS["all"]}, balanced=b)), ["spec"]).withColumn("balanced", F.lit(b)) for b in (False, True)]
+    parts = [metrics(durable(walk_forward(x, "asset", "week", {"all": SPECS["all"]}, balanced=b, known="known")), ["spec"]).withColumn("balanced", F.lit(b)) for b in (False, True)]
     return parts[0].unionByName(parts[1])
 
 

@@ -248,3 +248,49 @@ class Any:
 
     def __call__(self, *a, **k):
         return self
+
+
+def test_effects_of_many_levels_equal_dummies(spark):
+    """Eliminated effects give the coefficient and the errors of a fit with one dummy a level; weights and a level without variation included."""
+    rng = np.random.default_rng(11)
+    n, levels = 3000, 60
+    g, x = rng.integers(0, levels, n), rng.standard_normal((n, 2))
+    y = (rng.random(n) < K.sigmoid(rng.standard_normal(levels)[g] - 0.5 + x @ np.array([0.7, -0.3]))).astype(float)
+    g[:20], y[:20] = levels, 0.0  # never an event: says nothing of the features
+    w, t = rng.random(n) + 0.5, rng.integers(0, 40, n)
+    df = spark.createDataFrame(pd.DataFrame({"g": g, "t": t, "a": x[:, 0], "b": x[:, 1], "y": y.astype(int), "w": w}))
+    use = g < levels
+    z = K.zscore(x)[use]
+    design = np.column_stack([z, (g[use][:, None] == np.arange(levels)).astype(float)])
+    b = np.zeros(design.shape[1])
+    for _ in range(60):
+        p = K.sigmoid(design @ b)
+        h = (design * (w[use] * p * (1 - p))[:, None]).T @ design
+        b = b + np.linalg.solve(h, design.T @ (w[use] * (y[use] - p)))
+    got = {r.feature: r for r in pooled_logit(df, "y", ["a", "b"], fixed_effects="g", weight="w").collect()}
+    assert got["a"].n == n and got["a"].converged
+    cov = np.linalg.inv(h)
+    for j, name in enumerate("ab"):
+        assert math.log(got[name].odds_ratio) == pytest.approx(b[j], abs=1e-6)
+        assert math.log(got[name].hi / got[name].odds_ratio) == pytest.approx(1.959964 * math.sqrt(cov[j, j]), rel=1e-5)
+    e = (design * (w[use] * (y[use] - p))[:, None])
+
+    def middle(ids):
+        sums = np.array([e[ids == k].sum(axis=0) for k in np.unique(ids)])
+        return sums.T @ sums * len(sums) / (len(sums) - 1) * (n - 1) / (n - 2 - levels)
+
+    robust = cov @ (middle(g[use]) + middle(t[use]) - middle(g[use] * 1000 + t[use])) @ cov
+    both = {r.feature: r for r in pooled_logit(df, "y", ["a", "b"], clusters=["g", "t"], fixed_effects="g", weight="w").collect()}
+    assert math.log(both["a"].hi / both["a"].odds_ratio) == pytest.approx(1.959964 * math.sqrt(robust[0, 0]), rel=1e-5)
+    separated = df.withColumn("y", (df["a"] > 0).cast("int"))
+    assert not pooled_logit(separated, "y", ["a"], iterations=12).first().converged
+    assert pooled_logit(df.withColumn("y", F.lit(1)), "y", ["a"]).count() == 0
+
+
+def test_walk_forward_waits_until_outcomes_are_known(spark):
+    pdf = walk_frame(spark)
+    pdf["known"] = pdf["t"] + pd.to_timedelta(7 * 3, unit="D")
+    base = run_walk(spark, pdf, known="known")
+    assert all(n == (pd.Timestamp(t) - pdf["t"].iloc[0]).days // 7 - 2 for (_, _, t), (_, _, n) in base.items())
+    pdf.loc[50, "known"] = pd.NaT
+    assert all(n == (pd.Timestamp(t) - pdf["t"].iloc[0]).days // 7 - 3 for (_, _, t), (_, _, n) in run_walk(spark, pdf, known="known").items())
