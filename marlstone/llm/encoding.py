@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,6 +62,30 @@ def byte_table(codec: str) -> dict[int, int]:
     return table
 
 
+@functools.cache
+def _borrowed(codec: str) -> frozenset[str]:
+    """Controls that stand for a byte the set has another character for: the set's readers do not leave them."""
+    if codec in ("latin-1", "iso8859_2", "iso8859_15"):
+        return frozenset()
+    held = set()
+    for b in range(0x80, 0xA0):
+        try:
+            bytes([b]).decode(codec)
+            held.add(chr(b))
+        except UnicodeDecodeError:
+            pass
+    return frozenset(held)
+
+
+@functools.cache
+def _pair(codec: str) -> re.Pattern:
+    """A first and a following byte of a multibyte character, as readers of the set see them: what every span begins with."""
+    by_byte = {b: chr(c) for c, b in byte_table(codec).items()}
+    more = [chr(c) for c, b in byte_table(codec).items() if by_byte[b] != chr(c)]  # a control beside the byte's own character
+    one = lambda a, z: "".join(re.escape(c) for c in [*(by_byte[b] for b in range(a, z) if b in by_byte), *(c for c in more if a <= byte_table(codec)[ord(c)] < z)])
+    return re.compile(f"[{one(0xC2, 0xF5)}][{one(0x80, 0xC0)}]")
+
+
 class _ToByte(dict):
     """For str.translate: the byte of a character, 0 where it has none."""
 
@@ -97,16 +122,46 @@ def _script(c: str) -> str:
 _LIKELY_SINGLE = re.compile("[\u0080-\u00ffĄ-ćČ-đĘ-ěİıŁ-ńŇňŐ-œŘ-šŤťŮ-űŸ-žƒˆ˜‐-›€№™−]")
 
 
+#: Three characters that sound text sets just so: a letter, then closing marks or fixed spaces.
+_TYPOGRAPHIC = re.compile("[^\\W\\d_][\u00a0\u202f…”’»«–—]{2}")
+#: What a sound word does not hold: a capital after a small letter, box drawing, marks that stand inside no word, controls.
+_BROKEN_WORD = re.compile("[а-яёα-ω][А-ЯЁΑ-Ω]|[\x80-\x9f─-▟‚ƒ„†‡ˆ‰‹€™¤¦¨¬±¶]|^Ё[А-Я]{3}$")
+
+
+@functools.cache
+def _assigned(c: str) -> bool:
+    return unicodedata.category(c) not in ("Cn", "Co", "Cs", "Cc")
+
+
+def certain(decoded: str, original: str, codec: str) -> bool:
+    """Whether a span is well-formed by more than chance.
+
+    It holds a character of three or four bytes, all its characters are assigned, and those read for
+    them are no usual typography nor controls the set's readers do not leave; in a set of ``STRICT``
+    they also form no sound word.
+    """
+    if max(decoded) < "\u0800" or not all(map(_assigned, decoded)) or _TYPOGRAPHIC.fullmatch(original):
+        return False
+    return _borrowed(codec).isdisjoint(original) and (codec not in STRICT or bool(_BROKEN_WORD.search(original)))
+
+
 def plausible(decoded: str, alone: bool) -> bool:
     """Whether a decoded span reads as text: no rare blocks, no controls; a single letter must be a usual one."""
     if alone and len(decoded) == 1:
         return bool(_LIKELY_SINGLE.match(decoded)) or _script(decoded) in ("cjkpunct", "han", "kana", "thai", "devanagari")
     if all(c <= "\u00ff" or c in "ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™" for c in decoded):
         return True  # possibly one more layer
-    bad = sum(_script(c) in ("rare", "ipa", "rarehan", "armenian", "hebrew", "mark") or "\x80" <= c <= "\x9f" for c in decoded)
+    if not all(c < "\u0100" or _assigned(c) for c in decoded):
+        return False
+    bad = sum(_script(c) in ("rare", "ipa", "rarehan", "mark") or "\x80" <= c <= "\x9f" for c in decoded)
     return bad * 5 <= len(decoded)
 
 
+def _accepted(decoded: str, original: str, codec: str) -> bool:
+    """``certain``, or ``plausible`` and no usual typography."""
+    return certain(decoded, original, codec) or plausible(decoded, True) and not _TYPOGRAPHIC.fullmatch(original)
+
+
 _NEUTRAL = set("“”„‘’‚–—…«»€·•\u00a0¿¡°±§")
 
 
@@ -116,6 +171,8 @@ def utf8_spans(text: str, codec: str) -> tuple[float, list[tuple[int, int, str]]
     Also the share of the characters that they explain: of the unbroken runs of such characters
     they lie in, or of the whole value for sets of ``STRICT``; neutral punctuation is left out.
     """
+    if not _pair(codec).search(text):
+        return 0.0, []
     raw = to_bytes(text, codec)
     if not _UTF8_SPAN.search(raw):
         return 0.0, []
@@ -128,9 +185,9 @@ def utf8_spans(text: str, codec: str) -> tuple[float, list[tuple[int, int, str]]
         took = []
         for m in _UTF8_SPAN.finditer(raw, run.start(), run.end()):
             decoded = m.group().decode("utf-8")
-            kind = _script(decoded[0])
+            kind, original = _script(decoded[0]), text[m.start() : m.end()]
             beside = {_script(c) for c in text[max(0, m.start() - 1) : m.start()] + text[m.end() : m.end() + 1] if c.isalpha()}
-            if plausible(decoded, True) or kind != "rare" and (kind in scripts or kind in beside and kind not in ("latin", "ipa")):
+            if _accepted(decoded, original, codec) or not _TYPOGRAPHIC.fullmatch(original) and kind != "rare" and all(map(_assigned, decoded)) and (kind in scripts or kind in beside and kind not in ("latin", "ipa")):
                 took.append((m.start(), m.end(), decoded))
         if took or codec in STRICT:
             spans += took
@@ -321,7 +378,7 @@ def _apply(text: str, spans: list[tuple[int, int, str]]) -> str:
 _W = "À-ÿĀ-ſƒˆ˜–—‘’‚“”„†‡•…‰‹›€™"
 _SUSPECT = re.compile(
     "[\x80-\x9f�─-▟∂∏∑√∞∫≈≠≤≥◊⌐ﬁﬂ¤¦¨¬¯´¶¸ªƒˆˇ˜˘˙˚˝˛‡†‰‚ÿìòÈÒÛÙÎÏËÌ]"
-    f"|(?!ç[ãõ]|Ç[ÃÕ]|ŁÓ|[Łł]ó|öß|……|’[à-öø-ÿÀ-ÖØ-Þ]|[“”»«][—“”«»€])[{_W}][¡-¿{_W}]|[a-z][À-ÖØ-Þ„¡-ª¬-º¼-¿Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-zÀ-ÿ]|(?:^| )[ìíîóÖñòÄ](?: |\\d|$)|–[A-Za-z]|[A-Za-z]–|[A-Za-z][“”][a-z]"
+    f"|[{_W}][¡-¿{_W}]|[a-z][À-ÖØ-Þ„¡-ª¬-º¼-¿Ѐ-ӿͰ-Ͽ]|[Ѐ-ӿͰ-Ͽ][a-zÀ-ÿ]|(?:^| )[ìíîóÖñòÄ](?: |\\d|$)|–[A-Za-z]|[A-Za-z]–|[A-Za-z][“”][a-z]"
     "|[ЂЃѓЉЊЌЋЏђљњќћџЎўЈҐЄЇІіґєјЅѕї]|[Ѐ-ӿ][¡-ª¬-º¼-¿]|[а-яё][А-ЯЁ]|[А-ЯЁ]{3}|[¡-¿ÃÂÐÑØÙàãåäèéæçÎÏ][\u00a0-¿]"
 )
 _WIDE_SUSPECT = re.compile("[一-鿿｡-ﾟ]")
@@ -339,7 +396,7 @@ def repair(text: str | None) -> tuple[str | None, str | None]:
     ``lost``: damage was seen, but nothing could be decoded. NULL and empty texts are sound.
     Double damage is undone layer by layer.
     """
-    if not text or text.isascii() or not (_SUSPECT.search(text) or _FLATTENED.search(text) or _CUT_SHORT.search(text) or _WIDE_SUSPECT.search(text) and any(_wide_is_damage(text, x) for codec in READ_AS_WIDE for x in wide_spans(text, codec))):
+    if not text or text.isascii() or not (_SUSPECT.search(text) or any(_pair(codec).search(text) for codec in READ_AS) or _FLATTENED.search(text) or _CUT_SHORT.search(text) or _WIDE_SUSPECT.search(text) and any(_wide_is_damage(text, x) for codec in READ_AS_WIDE for x in wide_spans(text, codec))):
         return text, None
     text = _FLATTENED.sub("Â\u00a0", text)
     current, touched = text, False
@@ -350,32 +407,31 @@ def repair(text: str | None) -> tuple[str | None, str | None]:
         foreign = sum(c > "\x7f" and c not in _NEUTRAL for c in current)
         for codec in READ_AS:
             share, spans = utf8_spans(current, codec)
-            if spans and share >= (0.9 if codec in STRICT else 0.6) and not (codec in STRICT and len(spans) < 2):
+            if spans and share >= (0.9 if codec in STRICT else 0.6) and not (codec in STRICT and len(spans) < 2 and not certain(spans[0][2], current[spans[0][0] : spans[0][1]], codec)):
                 length = sum(b - a for a, b, _ in spans)
-                if length * share > best[0]:
-                    best, whole = (length * share, spans), share > 0.95
-                if share == 1 and length >= foreign and codec not in STRICT:
-                    break  # nothing is left to explain
-        else:
-            for codec in READ_AS_WIDE:
-                spans = [s for s in wide_spans(current, codec) if _wide_is_damage(current, s)]
-                gain = sum(2 * (b - a) for a, b, _ in spans)
+                gain = length * share - 0.25 * sum(current[k] in _borrowed(codec) for a, b, _ in spans for k in range(a, b))
                 if gain > best[0]:
-                    best = (gain, spans)
-            if not layer:
-                legacy = _legacy_repair(text)
-                if legacy and legacy[0] > best[0] and not whole:
-                    break
+                    best, whole = (gain, spans), share > 0.95 and length >= 0.95 * foreign
+        for codec in READ_AS_WIDE:
+            spans = [s for s in wide_spans(current, codec) if _wide_is_damage(current, s)]
+            gain = sum(2 * (b - a) for a, b, _ in spans)
+            if gain > best[0] and not whole:
+                best = (gain, spans)
+        if not layer:
+            legacy = _legacy_repair(text)
+            if legacy and legacy[0] > best[0] and not whole:
+                break
+            legacy = None if best[1] else legacy
         if not best[1]:
             break
         current, touched, legacy = _apply(current, best[1]), True, None
     if legacy:
         current, touched = legacy[1], True
-    if not touched and "�" not in current:
+    if not touched and "�" not in current and not _certain_left(current):
         swapped = _swap_repair(current)
         if swapped is not None:
             current, touched = swapped, True
-    if "�" in current or _still_damaged(current):
+    if "�" in current or _still_damaged(current) or touched and _certain_left(current):
         return current, "partial" if touched else "lost"
     return current, "restored" if touched else None
 
@@ -444,6 +500,8 @@ def _swap_repair(text: str) -> str | None:
     best, made = now - 0.9, None
     for read_as, codec in SWAPS:
         raw = to_bytes(text, read_as)
+        if any(not b and c.isalpha() for c, b in zip(text, raw)):
+            continue  # a letter the set does not have: the value was not read in it
         out = "".join(c if c < "\x80" or not b else bytes([b]).decode(codec, "replace") for c, b in zip(text, raw))
         if "\ufffd" in out or out == text:
             continue
@@ -488,6 +546,11 @@ def _legacy_repair(text: str) -> tuple[float, str] | None:
     return max(candidates) if candidates else None
 
 
+def _certain_left(text: str) -> bool:
+    """Whether a span that is ``certain`` in any of the sets stands in the text."""
+    return any(certain(m.group().decode("utf-8"), text[m.start() : m.end()], codec) for codec in READ_AS if _pair(codec).search(text) for m in _UTF8_SPAN.finditer(to_bytes(text, codec)))
+
+
 def _still_damaged(text: str) -> bool:
     for m in _HIGH_RUN.finditer(text):
         if any("\x80" <= c <= "\x9f" for c in m.group()) or len(_ODD.findall(m.group())) > 1:

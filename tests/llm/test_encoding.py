@@ -101,3 +101,26 @@ def test_values(spark):
     rows = sorted((r.id, r.field, r.restored, r.kind) for r in repair_values(df, "id", ["headline", "snippet"]).collect())
     assert rows == [(1, "headline", "Café", "restored")] * 2 + [(1, "snippet", "Café", "restored")]
     assert repair_values(df.limit(0), "id", ["headline"]).count() == 0
+
+
+WORLD = [
+    "🚀 to the moon", "₿ up", "✅ done", "→ next", "Giá bitcoin giảm mạnh", "מחיר הביטקוין ירד היום", "Բիթքոինի գինը նվազեց այսօր", "Ціна біткоїна впала", "Bitcoin — ‘up’", "price ≥ 5 €", "한국 시장이 상승했다", "ราคาลดลง", "日本 🚀", "ქართული ტექსტი",
+]
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "cp866"])
+@pytest.mark.parametrize("text", WORLD)
+def test_symbols_and_scripts_of_the_world(text, codec):
+    assert repair(misread(text, codec)) == (text, "restored")
+
+
+@pytest.mark.parametrize("codec", ["cp1253", "iso8859_15"])
+@pytest.mark.parametrize("text", WORLD)
+def test_never_restored_wrongly(text, codec):
+    got, kind = repair(misread(text, codec))
+    assert got == text or kind != "restored"
+
+
+@pytest.mark.parametrize("text", [*WORLD, "café…”", "il a dit à « Karsk »", "« passé »", "«Банк»—это", "своё «дело»…", "Україна їхати «Рівне»", "été…» dit-il", "Đồng giảm ‘mạnh’…", "שלום “עולם”…", "âme sœur… là", "NÃO, A MÃO", "Łódź, Straßenöße"])
+def test_sound_of_the_world(text):
+    assert repair(text) == (text, None)
