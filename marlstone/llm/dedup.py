@@ -7,12 +7,23 @@ from pyspark.sql import functions as F
 
 from marlstone.session import durable
 
-_IGNORED = r"[\s\p{Z}\p{P}\p{Punct}\u200b\ufeff]+"
+#: White space, punctuation, and what shows no sign of its own: format characters and variation selectors.
+_IGNORED = r"[\s\p{Z}\p{P}\p{Punct}\p{Cf}\ufe00-\ufe0f]+"
 
 #: A group is hot from this share of all rows on; so there are at most this many hot groups.
 HOT_GROUPS = 1000
 
 
+def composed(text: Column) -> Column:
+    """Unicode form NFKC: one way to write composed letters, wide and narrow forms, ligatures.
+
+    By the Unicode library that the engine ships for its collations, in the JVM; text in plain ASCII
+    is in that form already and never gets there.
+    """
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(F.octet_length(text) > F.char_length(text), made).otherwise(text)
+
+
 def folded(text: Column) -> Column:
     """Case folded by way of upper case, so that ``ß`` meets ``SS`` and final sigma its capital.
 
@@ -45,8 +56,9 @@ def canonical_url(url: Column) -> Column:
 
 def keyed(df: DataFrame, key: str, headline: str = "headline", url: str = "url", text: bool = False) -> DataFrame:
     """``__id``, the 128-bit ``__h`` of the canonical record and an independent 64-bit ``__c`` to check it."""
-    head, link = canonical_headline(F.col(headline)), canonical_url(F.col(url))
-    d = df.filter((F.trim(headline) != "") & (F.trim(url) != "")).select(F.col(key).alias("__id"), head.alias("__head"), link.alias("__link"))
+    head, link = canonical_headline(F.col("__head")), canonical_url(F.col("__link"))
+    d = df.filter((F.trim(headline) != "") & (F.trim(url) != "")).select(F.col(key).alias("__id"), composed(F.col(headline)).alias("__head"), composed(F.col(url)).alias("__link"))
+    d = d.select("__id", head.alias("__head"), link.alias("__link"))
     d = d.filter(F.col("__head") != "")
     whole = F.concat_ws("\u0002", "__head", "__link")
     return d.select("__id", F.unhex(F.md5(whole)).alias("__h"), F.xxhash64(whole).alias("__c"), *([whole.alias("__t")] if text else []))
@@ -73,8 +85,9 @@ def _keyed_exactly(df: DataFrame, key: str, headline: str, url: str) -> tuple[Da
 def unique_records(df: DataFrame, key: str, headline: str = "headline", url: str = "url") -> DataFrame:
     """One row per distinct record: ``keep_id`` (the smallest key) and ``copies`` (rows, itself included).
 
-    Records are the same if headline and url agree once white space, letter case, punctuation and
-    the order of headline sections (``|``) and of query fields are ignored. Records whose headline
+    Records are the same if headline and url agree in Unicode form NFKC once white space, letter case,
+    punctuation, format characters and the order of headline sections (``|``) and of query fields are
+    ignored. Records whose headline
     or url is NULL, empty or nothing but such marks do not count. Repeated keys count as rows.
     """
     return _keyed_exactly(df, key, headline, url)[1].select(F.col("__keep").alias("keep_id"), F.col("__n").alias("copies"))
