@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marlstone.operators.moments import host_source, normalise_dates
 from marlstone.operators.records import is_blank, load_records
 from marlstone.operators.regrid import regrid_weekly
-from marlstone.operators.trailing import trailing_totals
+from marlstone.operators.trailing import latest_readings, trailing_totals
+from marlstone.operators.windows import along, running_sum
 from marlstone.plans import records_sql
 from marlstone.sources.tables import table
 
@@ -74,11 +75,28 @@ def p6_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Weeks without a reading."""
-    g = regrid_weekly(table(spark, d, "sentiment_weekly"), "coin", "week", "n_articles", "finbert_exp_hl7", "loaded_at")
+    """Weeks without a reading, by way of the running number of articles and its differences."""
+    g = regrid_weekly(counter(spark, d), "coin", "week", "total", "finbert_exp_hl7", cumulative=True)
     return g.filter("readings = 0").select(F.col("entity").alias("coin"), F.col("week").cast("string").alias("week_text"))
 
 
+#: The counter of ``p6_counter`` starts again when it would pass this number.
+COUNTER_WRAPS = 1000
+
+
+def counter(spark: SparkSession, d: str) -> DataFrame:
+    """``n_articles`` as a meter would deliver it: the coin's running number of articles, which starts again after COUNTER_WRAPS."""
+    clean = latest_readings(table(spark, d, "sentiment_weekly"), "coin", "week", ["n_articles", "finbert_exp_hl7"], "loaded_at")
+    total = running_sum(F.col("__v0"), along(["__e"], "__day"))
+    return clean.select(F.col("__e").alias("coin"), F.col("__day").alias("week"), (total % COUNTER_WRAPS).alias("total"), F.col("__v1").alias("finbert_exp_hl7"))
+
+
+def p6_counter(spark: SparkSession, d: str) -> DataFrame:
+    """The grid from a cumulative counter with resets: differences of consecutive readings, shared out by overlap."""
+    g = regrid_weekly(counter(spark, d), "coin", "week", "total", "finbert_exp_hl7", cumulative=True)
+    return g.select(F.col("entity").alias("coin"), "week", "readings", "covered_days", settled(F.col("amount")).alias("n_articles"), "status")
+
+
 _LATEST = """
   SELECT coin, {day} AS d, arg_max(v0, (loaded_at, v0)) AS v0, arg_max(coalesce(v1, 'NaN'::DOUBLE), (loaded_at, v0)) AS v1
   FROM (SELECT coin, {day}, CAST({v0} AS DOUBLE) v0, CAST({v1} AS DOUBLE) v1, loaded_at FROM {tbl}) WHERE v0 IS NOT NULL AND coin IS NOT NULL AND {day} IS NOT NULL
@@ -128,7 +146,11 @@ SELECT coin, week, CAST(coalesce(readings, 0) AS BIGINT) AS readings, CAST(coale
   CASE WHEN coalesce(readings, 0) > 0 THEN 'observed' WHEN covered_days > 0 THEN 'apportioned' ELSE 'uncovered' END AS status
 FROM g LEFT JOIN a USING (coin, week)"""
 
-QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid, "p3_found": p3_found, "p3_prices": p3_prices, "p3_sentiment": p3_sentiment, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid}
+_RAW = _latest("sentiment_weekly", "week", "n_articles", "finbert_exp_hl7")
+_COUNTER = _GRID.replace(f"{_RAW},", f"""{_RAW.replace("r AS (", "r0 AS (", 1)},
+r1 AS (SELECT coin, d, v1, sum(v0) OVER (PARTITION BY coin ORDER BY d) % {COUNTER_WRAPS} AS total FROM r0),
+r AS (SELECT coin, d, v1, CASE WHEN total < lag(total) OVER (PARTITION BY coin ORDER BY d) THEN total ELSE total - lag(total) OVER (PARTITION BY coin ORDER BY d) END AS v0 FROM r1),""")
+QUERIES = {"p2_found": p2_found, "p2_valid": p2_valid, "p3_found": p3_found, "p3_prices": p3_prices, "p3_sentiment": p3_sentiment, "p5_found": p5_found, "p6_found": p6_found, "p6_grid": p6_grid, "p6_counter": p6_counter}
 SQL = {
     "p2_found": records_sql.FAILED,
     "p2_valid": records_sql.VALID,
@@ -137,5 +159,6 @@ SQL = {
     "p3_sentiment": _trailing_sql("sentiment_weekly", "week", "n_articles", "finbert_exp_hl7", {"n_articles": "v0", "finbert_exp_hl7": "v1"}),
     "p3_found": _gap_sql("panel_prices", "date", "close") + " UNION ALL " + _gap_sql("sentiment_weekly", "week", "n_articles"),
     "p6_grid": _GRID,
+    "p6_counter": f"SELECT coin, week, readings, covered_days, n_articles, status FROM ({_COUNTER})",
     "p6_found": f"SELECT coin, CAST(week AS VARCHAR) AS week_text FROM ({_GRID}) WHERE readings = 0",
 }
