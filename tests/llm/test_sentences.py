@@ -58,3 +58,46 @@ def test_units_cover_every_mark(folder):
         ends = unit_ends([t])[0]
         assert ends == sorted(set(ends)) and (not t.strip() or ends[-1] == len(t.rstrip()))
     assert S.STATES == EMIT.shape[1]
+
+
+def by_chunks(text, size):
+    made = [S.chunk_events(c) for c in S.chunks(text, size)]
+    states = S.entry_states(np.stack([S.transition(np.asarray(s, dtype=np.int64)) for s, _ in made]))
+    return [e for (s, ends), k in zip(made, states) for e in S._risen(ends, run_transducer(np.asarray(s, dtype=np.int64), state=k))]
+
+
+def odd_text(rng, pieces):
+    parts = ["word ", "Word. ", "„offen ", "“zu” ", "«quote» ", "»rück« ", '"straight ', '." Then', "Mr. K ", "1. item\n", "\n2. next ", "\n\n", "\n \n", "\n• dot ", "...", "?! ", "价格。", "「引用。」", "ราคา ลดลง ", "ab c. ", " ; ", "κι; ", "   ", "10.5 ", "z.B. ", "”", "» ", ")” ", "Нет. Да ", "\n"]
+    return "".join(rng.choice(parts) for _ in range(pieces))
+
+
+def test_any_chunk_size_gives_the_same_units(folder):
+    import duckdb
+
+    rng = np.random.default_rng(3)
+    texts = [odd_text(rng, 400) for _ in range(60)] + [odd_text(rng, 3).replace("ราคา ลดลง ", "") * 200 for _ in range(20)]
+    given = [t for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet'").fetchall() if t]
+    for text in [*texts, "\n\n".join(given), " ".join(given)]:
+        want = unit_ends([text])[0]
+        for size in (1, 40, 333, 1024, 10**7):
+            assert by_chunks(text, size) == want
+
+
+@pytest.mark.parametrize("piece", ["“Never closed. Next one. ", "„Nie zu. Weiter. ", '"', "”", "wait... ! ", ")”", ". ", "«", "a\n", "\n1. x", " “", "!”  "])
+def test_time_is_linear(piece):
+    import time
+
+    text = piece * (4_000_000 // len(piece))
+    began = time.process_time()
+    unit_ends([text])
+    assert time.process_time() - began < 40
+
+
+def test_long_texts_are_cut_into_rows(spark, folder):
+    import duckdb
+
+    given = [t for (t,) in duckdb.sql(f"SELECT text FROM '{folder}/documents.parquet'").fetchall() if t]
+    rows = [(1, "\n\n".join(given)), (2, " ".join(given)), (2, "Short. One."), (3, None), (4, "“open. " * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, sentence_ends(df, "doc_id", long_text=20_000, chunk=4096).collect()))
+    assert got == sorted((k, e) for k, t in rows for e in unit_ends([t])[0])
