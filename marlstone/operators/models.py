@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.timestamps import pin
 from marlstone.operators import kernels as K
+from marlstone.operators.metrics import metrics
 from marlstone.session import durable, small_side
 
 
@@ -208,6 +210,89 @@ def _with_levels(d: DataFrame, names: list[str], penalty: np.ndarray, iterations
     return b, inverse, free, converged, total
 
 
+def _by_group(values: dict[str, list[float]], group: str) -> Column:
+    """The list of numbers of the row's group."""
+    return F.create_map(*[F.lit(v) for g, numbers in values.items() for v in (g, F.array(*[F.lit(float(n)) for n in numbers]))])[F.col(group)]
+
+
+def pooled_fits(df: DataFrame, group: str, y: str, x: list[str], firth: bool = False, fixed: int | None = None, least_rows: int = 10, least_events: int = 2, iterations: int = 60, tolerance: float = 1e-8) -> dict[str, dict]:
+    """One logit per value of ``group`` on all its rows, all fitted together: n, events, mean, sd, b, cov, ll, converged.
+
+    A step is one aggregate over the rows (two with ``firth``) that sums by group with map-side
+    combining, so a group may hold any number of rows; groups are specifications and periods, a
+    handful. Features are per deviation of the group; ``b`` begins with the constant. ``firth``
+    penalises by Jeffreys' prior (``ll`` is the penalised likelihood then), ``fixed`` holds feature
+    number ``fixed`` (from 1) at zero under the full penalty. Rows with a NULL are left out; groups
+    with fewer rows, events or non-events than asked have no fit.
+    """
+    names = ["__one", *[f"__x{k}" for k in range(len(x))]]
+    use = durable(df.select(F.col(group).alias("__g"), F.col(y).cast("double").alias("__y"), *[F.col(c).cast("double").alias(n) for c, n in zip(x, names[1:])]).na.drop())
+    head = use.groupBy("__g").agg(F.count("*").alias("n"), F.sum("__y").alias("events"), *[F.avg(c).alias(f"m{c}") for c in names[1:]], *[F.stddev_pop(c).alias(f"s{c}") for c in names[1:]]).collect()
+    fits = {r["__g"]: {"n": r["n"], "events": int(r["events"]), "mean": [r[f"m{c}"] for c in names[1:]], "sd": [r[f"s{c}"] or 1.0 for c in names[1:]], "b": np.zeros(len(names)), "converged": False} for r in head if r["n"] >= least_rows and least_events <= r["events"] <= r["n"] - least_events}
+    if not fits:
+        return {}
+    moments = {"m": _by_group({g: f["mean"] for g, f in fits.items()}, "__g"), "s": _by_group({g: f["sd"] for g, f in fits.items()}, "__g")}
+    d = pin(use.filter(F.col("__g").isin(list(fits))), {"__m": moments["m"], "__s": moments["s"]})
+    d = d.select("__g", "__y", F.lit(1.0).alias("__w"), F.lit(1.0).alias("__one"), *[((F.col(c) - F.col("__m")[k]) / F.col("__s")[k]).alias(c) for k, c in enumerate(names[1:])])
+    free = np.array([j for j in range(len(names)) if j != fixed])
+
+    def sums(extra: list[Column], more: dict[str, Column]) -> dict[str, dict]:
+        rows = pin(d, {"__b": _by_group({g: list(f["b"]) for g, f in fits.items()}, "__g")})
+        eta = sum((F.col(c) * F.col("__b")[j] for j, c in enumerate(names)), F.lit(0.0))
+        rows = _residuals(rows, eta).withColumns({"__ll": F.ln(F.when(F.col("__y") > 0, F.col("__p")).otherwise(1 - F.col("__p"))), **more})
+        return {r["__g"]: r for r in rows.groupBy("__g").agg(*extra).collect()}
+
+    def state() -> dict[str, dict]:
+        return sums([F.sum("__ll").alias("ll"), *[F.sum(F.col("__e") * F.col(c)).alias(f"g{k}") for k, c in enumerate(names)], *_cross(names, "q", F.col("__h"))], {})
+
+    for _ in range(iterations + 1):
+        rows = state()
+        info = {g: _matrix(r, names, "q") for g, r in rows.items()}
+        score = {g: np.array([r[f"g{k}"] for k in range(len(names))]) for g, r in rows.items()}
+        if firth:
+            inverse = {g: list(np.linalg.pinv(m).ravel()) for g, m in info.items()}
+            leverage = F.col("__h") * sum((F.col(a) * F.col(c) * F.col("__i")[i * len(names) + j] for i, a in enumerate(names) for j, c in enumerate(names)), F.lit(0.0))
+            pull = sums([F.sum(F.col("__v") * F.col(c)).alias(f"g{k}") for k, c in enumerate(names)], {"__i": _by_group(inverse, "__g"), "__v": leverage * (0.5 - F.col("__p"))})
+            score = {g: v + np.array([pull[g][f"g{k}"] for k in range(len(names))]) for g, v in score.items()}
+        for g, f in fits.items():
+            f["cov"], f["ll"] = np.linalg.pinv(info[g]), float(rows[g]["ll"] + (0.5 * np.linalg.slogdet(info[g])[1] if firth else 0.0))
+        if all(f["converged"] for f in fits.values()):
+            break
+        for g, f in fits.items():
+            move = np.zeros(len(names))
+            move[free] = np.linalg.pinv(info[g][np.ix_(free, free)]) @ score[g][free]
+            move = move * min(1.0, 3.0 / max(np.abs(move).max(), 1e-12))
+            f["b"], f["converged"] = f["b"] + move, bool(np.abs(move).max() < tolerance)
+    return fits
+
+
+def predicted(df: DataFrame, group: str, x: list[str], fits: dict[str, dict]) -> DataFrame:
+    """Rows of fitted groups with ``p``, their probability under the group's fit."""
+    if not fits:
+        return df.limit(0).withColumn("p", F.lit(None).cast("double"))
+    parts = {g: [*f["b"], *f["mean"], *f["sd"]] for g, f in fits.items()}
+    k = len(x)
+    d = pin(df.filter(F.col(group).isin(list(fits))), {"__f": _by_group(parts, group)})
+    eta = sum((F.col("__f")[1 + j] * (F.col(c) - F.col("__f")[1 + k + j]) / F.col("__f")[1 + 2 * k + j] for j, c in enumerate(x)), F.col("__f")[0])
+    return d.withColumn("p", 1 / (1 + F.exp(-eta))).drop("__f")
+
+
+def pooled_report(df: DataFrame, group: str, y: str, x: list[str], **options) -> DataFrame:
+    """``pooled_fits`` as a table: group, feature (x1, x2 ..), n, events, odds_ratio, z, auc, mcfadden, converged."""
+    fits = pooled_fits(df, group, y, x, **options)
+    schema = f"{group} string, feature string, n bigint, events bigint, odds_ratio double, z double, mcfadden double, converged boolean"
+    rows = []
+    for g, f in fits.items():
+        rate = f["events"] / f["n"]
+        null = f["n"] * (rate * math.log(rate) + (1 - rate) * math.log(1 - rate))
+        for j in range(1, len(x) + 1):
+            se = math.sqrt(f["cov"][j, j]) if f["cov"][j, j] > 0 else math.nan
+            rows.append((g, f"x{j}", f["n"], f["events"], math.exp(min(f["b"][j], 700)), float(f["b"][j] / se), 1 - f["ll"] / null, f["converged"]))
+    table = df.sparkSession.createDataFrame(rows, schema)
+    scored = metrics(predicted(df.select(group, F.col(y).cast("int").alias("y"), *x).na.drop(), group, x, fits), [group]).select(group, "auc")
+    return table.join(scored, group)
+
+
 def grouped_quantiles(df: DataFrame, keys: list[str], y: str, x: list[str], taus: tuple[float, ...] = (0.05, 0.10, 0.25, 0.50), least_rows: int = 30) -> DataFrame:
     """Quantile regression per key and tau: coefficient per deviation of each feature and its p."""
     kinds = dict(df.dtypes)
