@@ -108,8 +108,12 @@ def monthly_forward(df: DataFrame, key: str = "coin", day: str = "d", n: int = 6
     return d.groupBy(key, F.last_day(day).alias("month_end")).agg(last_value("__f", day).alias("forward_return")).filter(F.col("forward_return").isNotNull())
 
 
-def tail_labels(df: DataFrame, x: str, key: str = "coin", method: str = "quantile", tail: float = 0.06, z: float = 2.0) -> DataFrame:
-    """Add ``forward_zscore`` and ``tail_label`` in {-1, 0, 1}, by ``quantile`` (inclusive) or ``global_z`` (strict)."""
+def tail_labels(df: DataFrame, x: str, key: str = "coin", method: str = "quantile", tail: float = 0.06, z: float = 2.0, day: str = "week") -> DataFrame:
+    """Add ``forward_zscore`` and ``tail_label`` in {-1, 0, 1}, by ``quantile`` (inclusive), ``global_z`` (strict) or ``evt`` (``models.evt_labels``, without the score)."""
+    if method == "evt":
+        from marlstone.operators.models import evt_labels
+
+        return evt_labels(df, [key], day, x)
     stats = df.groupBy(key).agg(F.avg(x).alias("__mu"), F.stddev_samp(x).alias("__sd"), F.percentile(x, F.lit(tail)).alias("__lo"), F.percentile(x, F.lit(1 - tail)).alias("__hi"))
     d = df.join(stats, key).withColumn("forward_zscore", (F.col(x) - F.col("__mu")) / F.when(F.col("__sd") > 0, F.col("__sd")))
     up, down = {"quantile": (F.col(x) >= F.col("__hi"), F.col(x) <= F.col("__lo")), "global_z": (F.col("forward_zscore") > z, F.col("forward_zscore") < -z)}[method]

@@ -9,9 +9,9 @@ from marlstone.functions.calendar import week_end
 from marlstone.operators.events import abnormal_returns, decile_events, window_sums
 from marlstone.operators.harness import bisected_n, permutation_p, simulated_power, smallest_detectable, spearman_permutation, walk_forward
 from marlstone.operators.joins import trailing_join
-from marlstone.operators.labels import decile_labels, last_value, momentum, recovery_weights, scar_flags, trailing_volatility, weekly
+from marlstone.operators.labels import decile_labels, last_value, momentum, recovery_weights, scar_flags, tail_labels, trailing_volatility, weekly
 from marlstone.operators.metrics import metrics
-from marlstone.operators.models import boosted_against_logit, evt_labels, grouped_logit, grouped_quantiles, pooled_logit, split_logit
+from marlstone.operators.models import boosted_against_logit, grouped_logit, grouped_quantiles, pooled_logit, pooled_report, split_logit
 from marlstone.operators.windows import along, running_sum
 from marlstone.plans.prepare import settled
 from marlstone.plans.series import R6, RET, r6, returns
@@ -37,9 +37,10 @@ def m1_logit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m3_split(spark: SparkSession, d: str) -> DataFrame:
-    """Logit before and from 1998 on, each in sample."""
-    x = features(spark, d).withColumn("regime", F.when(F.col("week") < "1998-01-01", "early").otherwise("late"))
-    return grouped_logit(x, ["regime"], "tail_down", ["rwdv", "mom"])
+    """Logit before and from 1998 on, each in sample over all assets."""
+    regime = F.when(F.col("week") < "1998-01-01", "early").otherwise("late")
+    x = features(spark, d).select(regime.alias("regime"), F.col("tail_down").alias("y"), F.col("rwdv").alias("x1"), F.col("mom").alias("x2"))
+    return pooled_report(durable(x), "regime", "y", ["x1", "x2"])
 
 
 def m3_after(spark: SparkSession, d: str) -> DataFrame:
@@ -58,8 +59,10 @@ def m6_permutation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def m7_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The same, shuffling blocks of eight weeks."""
-    return permutation_p(features(spark, d), ["asset"], "week", "tail_down", ["rwdv", "mom"], replicates=3000, block=8)
+    """The same by asset and regime, shuffling blocks of eight weeks."""
+    x = features(spark, d)
+    x = x.withColumn("regime", F.expr("CASE WHEN week < '1998-01-01' THEN 'early' ELSE 'late' END"))
+    return permutation_p(x, ["asset", "regime"], "week", "tail_down", ["rwdv", "mom"], replicates=3000, block=8)
 
 
 def m8_interaction(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +104,7 @@ def m13_spearman(spark: SparkSession, d: str) -> DataFrame:
 def d12_evt(spark: SparkSession, d: str) -> DataFrame:
     """Tail weeks by tail fits."""
     x = weekly(assets(spark, d), {"ret": F.sum("r")}, "asset", fill={"ret": 0.0})
-    return evt_labels(x, ["asset"], "week", "ret")
+    return tail_labels(x, "ret", "asset", method="evt")
 
 
 def h1_walk_forward(spark: SparkSession, d: str) -> DataFrame:

@@ -97,6 +97,22 @@ def m9_sentiment(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def k3_bands(spark: SparkSession, d: str) -> DataFrame:
+    """What the AUC of each univariate specification is worth: below .55 chance, below .62 weak, else moderate (K3)."""
+    t = m1_sentiment(spark, d).filter("auc is not null")
+    return t.select("spec", "auc", F.when(F.col("auc") < 0.55, "chance").when(F.col("auc") < 0.62, "weak").otherwise("moderate").alias("verdict"))
+
+
+def k3_survived(spark: SparkSession, d: str) -> DataFrame:
+    """Whether sentiment survives the control for volume: same side of one and more than half of the distance kept (K3)."""
+    x = durable(panel(spark, d).na.drop(subset=["s4w", "volume"]))
+    alone, joint = (pooled_fits(_specs(x, {"c": columns}), "spec", "y", [f"x{k + 1}" for k in range(len(columns))]) for columns in (["s4w"], ["s4w", "volume"]))
+    rows = [(math.exp(alone[g]["b"][1]), math.exp(joint[g]["b"][1])) for g in alone if g in joint and alone[g]["converged"] and joint[g]["converged"]]
+    t = spark.createDataFrame(rows, "base double, controlled double")
+    b, w = F.col("base") - 1, F.col("controlled") - 1
+    return t.select(*r6(base=F.col("base"), controlled=F.col("controlled")), ((w * b > 0) & (F.abs(w) > 0.5 * F.abs(b))).alias("survived"))
+
+
 def market(spark: SparkSession, d: str) -> DataFrame:
     """The one series of the equal-weight market: weekly labels, volatility, momentum, sentiment and volume over all coins."""
     r = returns(spark, d).groupBy("d").agg(F.avg("r").alias("r"), F.count("r").alias("k")).filter("k >= 2").select(F.lit("market").alias("coin"), "d", "r")
@@ -200,4 +216,6 @@ SELECT 's1' AS spec, n AS n_train, CAST(ev AS BIGINT) AS events_train, n_test, C
     + " UNION ALL ".join(f"SELECT '{f}' AS feature, fit.n, CAST(fit.ev AS BIGINT) AS events, fit.rest AND o.rest AS converged, {_OFF(f'exp(fit.b{j})', 'odds_ratio', 'fit.rest AND o.rest')}, {_OFF('greatest(0, 2 * (fit.ll - o.ll))', 'statistic', 'fit.rest AND o.rest')} FROM fit JOIN fit{t} o USING (g)" for j, f, t in ((1, "s4w", "u"), (2, "volume", "w"))),
     "m8_sentiment": f"WITH {_PANEL}, st AS (SELECT CASE WHEN week < '{SPLIT}' THEN 'early' ELSE 'late' END AS g, tail_down AS y, s4w AS x1 FROM pn WHERE s4w IS NOT NULL), {newton_sql('st', 1, True, None, 40)} SELECT g AS regime, n, CAST(ev AS BIGINT) AS events, rest AS converged, {_OFF('exp(b1)', 'odds_ratio')} FROM fit",
 }
-QUERIES = {f.__name__: f for f in (m1_sentiment, m2_sentiment, m3_sentiment, m4_sentiment, m8_sentiment, m9_sentiment, h4_volume)}
+SQL["k3_bands"] = f"SELECT spec, auc, CASE WHEN auc < 0.55 THEN 'chance' WHEN auc < 0.62 THEN 'weak' ELSE 'moderate' END AS verdict FROM ({SQL['m1_sentiment']}) WHERE auc IS NOT NULL"
+SQL["k3_survived"] = f"WITH {_PANEL}, {_ST2}, {newton_sql('st', 1, name='a')}, {newton_sql('st', 2, name='c')} SELECT {R6('base')} AS base, {R6('controlled')} AS controlled, (controlled - 1) * (base - 1) > 0 AND abs(controlled - 1) > 0.5 * abs(base - 1) AS survived FROM (SELECT exp(fita.b1) AS base, exp(fitc.b1) AS controlled FROM fita JOIN fitc USING (g) WHERE fita.rest AND fitc.rest)"
+QUERIES = {f.__name__: f for f in (m1_sentiment, m2_sentiment, m3_sentiment, m4_sentiment, m8_sentiment, m9_sentiment, k3_bands, k3_survived, h4_volume)}

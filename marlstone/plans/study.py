@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.events import WINDOWS, abnormal_returns, agreement, bootstrap_means, decile_events, recovery, window_sums, window_tests
+from marlstone.operators.joins import trailing_join
 from marlstone.operators.metrics import metrics, roc_points
 from marlstone.operators.windows import along, running_product, running_sum
 from marlstone.plans.prepare import settled
@@ -63,11 +66,16 @@ def e5_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def e9_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap_means(window_sums(_ar(spark, d), "asset").select("asset", "sign", "ev_date", "window", "car"), ["sign", "window"], replicates=10_000)
+    """Percentile interval of the mean abnormal sum by sign and window."""
+    cars = window_sums(_ar(spark, d), "asset").select("asset", "sign", "ev_date", "window", "car")
+    b = bootstrap_means(durable(cars), ["sign", "window"], replicates=10_000, ids=["asset", "sign", "ev_date", "window"])
+    return b.select("sign", "window", "n", *r6(mean=F.col("mean"), lo=F.col("lo"), hi=F.col("hi")))
 
 
 def e10_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return agreement(window_tests(_ar(spark, d), "asset"))
+    """p-values of the four tests and whether a parametric and a non-parametric one agree."""
+    t = agreement(window_tests(_ar(spark, d), "asset"))
+    return t.select("sign", "window", "n", "agree", "agree_bonferroni", *r6(**{f"{c}_p": F.col(f"{c}_p") for c in ("patell", "bmp", "sign", "corrado")}))
 
 
 def e11_recovery(spark: SparkSession, d: str) -> DataFrame:
@@ -82,6 +90,14 @@ def e13_records(spark: SparkSession, d: str) -> DataFrame:
     return x.select("asset", "sign", "ev_date", "rec50", "rec80", *r6(depth=F.col("depth"), **{f"car_{w}": F.col(w) for w in WINDOWS}))
 
 
+def e12_before(spark: SparkSession, d: str) -> DataFrame:
+    """Events with the mean discount and the shipments of the 28 days up to them, as their sentiment and news."""
+    _, events = _parts(spark, d)
+    daily = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.avg("l_discount").alias("s"), F.count("*").alias("n"))
+    x = trailing_join(events.select("asset", "sign", "ev_date"), daily, [], "ev_date", "day", 28, [F.avg("s").alias("pre_sent"), F.sum("n").alias("pre_news")])
+    return x.select("asset", "sign", "ev_date", "pre_news", *r6(pre_sent=F.col("pre_sent")))
+
+
 def e14_summary(spark: SparkSession, d: str) -> DataFrame:
     """Median recovery and events not recovered, by sign; groups of three events at least."""
     r = _recovery(spark, d)
@@ -112,7 +128,7 @@ def v6_roc(spark: SparkSession, d: str) -> DataFrame:
     return roc_points(predictions(spark, d), ["day"]).select("day", "p", *r6(fpr=F.col("fpr"), tpr=F.col("tpr")))
 
 
-QUERIES = {f.__name__: f for f in (e1_index, e2_events, e3_abnormal, e4_car, e5_tests, e9_bootstrap, e10_agreement, e11_recovery, e13_records, e14_summary, e15_path, v1_metrics, v6_roc)}
+QUERIES = {f.__name__: f for f in (e1_index, e2_events, e3_abnormal, e4_car, e5_tests, e9_bootstrap, e10_agreement, e11_recovery, e12_before, e13_records, e14_summary, e15_path, v1_metrics, v6_roc)}
 
 _A = "PARTITION BY asset ORDER BY d"
 ASSETS = f"""v AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS d, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
@@ -151,7 +167,23 @@ rec AS (SELECT rn0.asset, sign, ev_date, (low - peak) / peak AS depth, min(CASE
 _PRED = """pr AS (SELECT CAST(ts AS DATE) AS day, CAST(event_type IN ('error', 'purchase') AS INTEGER) AS y, floor(value / 5) / 100 AS p FROM events),
 g AS (SELECT day, p, count(*) AS n, sum(y) AS pos FROM pr GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY day) AS ev, sum(n) OVER (PARTITION BY day) AS al FROM g WINDOW w AS (PARTITION BY day ORDER BY p DESC))"""
+_Z = "SELECT sign, win, n, patell_z AS patell, bmp_z AS bmp, (w - n * ph) / nullif(sqrt(n * ph * (1 - ph)), 0) AS sg, rs / (sqrt(days) * nullif(sk, 0)) AS corrado FROM zz JOIN ph USING (sign) JOIN sk USING (sign) JOIN rs USING (sign, win)"
+
+
+def _tail_sql(z: str) -> str:
+    """The series of the error function with its double factorials by the gamma function."""
+    x = f"(least(abs({z}), 8) / sqrt(2))"
+    terms = f"list_sum(list_transform(range(0, 161), lambda k: exp(k * ln(2 * {x} * {x}) + ln({x}) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi()))))"
+    return f"CASE WHEN {z} IS NULL THEN NULL WHEN abs({z}) >= 8 THEN 0 WHEN {z} = 0 THEN 1 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {terms}) END"
+
+
+_CUTS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12)]
+_WEIGHT = " + ".join(f"CAST(u > {c!r} AS INTEGER)" for c in _CUTS)
+_AGREE = lambda a: f"((coalesce(p1 < {a}, FALSE) OR coalesce(p2 < {a}, FALSE)) AND (coalesce(p3 < {a}, FALSE) OR coalesce(p4 < {a}, FALSE)))"
 SQL = {
+    "e12_before": f"WITH {EVENTS}, sd AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_discount) AS s, count(*) AS n FROM lineitem GROUP BY ALL) SELECT asset, sign, ev_date, CAST(sum(n) AS BIGINT) AS pre_news, {R6('avg(s)')} AS pre_sent FROM ev LEFT JOIN sd ON sd.day > ev_date - 28 AND sd.day <= ev_date GROUP BY ALL",
+    "e10_agreement": f"WITH {TESTS}, z AS ({_Z}), p AS (SELECT sign, win, n, {_tail_sql('patell')} AS p1, {_tail_sql('bmp')} AS p2, {_tail_sql('sg')} AS p3, {_tail_sql('corrado')} AS p4 FROM z) SELECT sign, win AS \"window\", n, {_AGREE(0.05)} AS agree, {_AGREE('0.05 / 4')} AS agree_bonferroni, {R6('p1')} AS patell_p, {R6('p2')} AS bmp_p, {R6('p3')} AS sign_p, {R6('p4')} AS corrado_p FROM p",
+    "e9_bootstrap": f"WITH {AR}, u AS (SELECT sign, win, car, b, CAST('0x' || left(md5(asset || '|' || sign || '|' || ev_date || '|' || win || '|' || b || '|7'), 8) AS BIGINT) / 4294967296.0 AS u FROM cars, range(1, 10001) t(b)), m AS (SELECT sign, win, b, sum(car * ({_WEIGHT})) / nullif(sum({_WEIGHT}), 0) AS m FROM u GROUP BY ALL), q AS (SELECT sign, win, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m WHERE m IS NOT NULL GROUP BY ALL) SELECT sign, win AS \"window\", count(*) AS n, {R6('avg(car)')} AS mean, {R6('any_value(lo)')} AS lo, {R6('any_value(hi)')} AS hi FROM cars JOIN q USING (sign, win) GROUP BY ALL",
     "e1_index": f"WITH {ASSETS} SELECT asset, d, {R6('price')} AS simple, {R6(f'exp(sum(r) OVER ({_A}))')} AS log FROM a",
     "e2_events": f"WITH {EVENTS} SELECT asset, sign, ev_date, {R6('week_ret')} AS week_ret FROM ev",
     "e3_abnormal": f"WITH {AR} SELECT asset, sign, ev_date, t0, rel, {R6('mu')} AS mu, {R6('sd')} AS sd, {R6('ar')} AS ar FROM ar",

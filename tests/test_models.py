@@ -294,3 +294,36 @@ def test_walk_forward_waits_until_outcomes_are_known(spark):
     assert all(n == (pd.Timestamp(t) - pdf["t"].iloc[0]).days // 7 - 2 for (_, _, t), (_, _, n) in base.items())
     pdf.loc[50, "known"] = pd.NaT
     assert all(n == (pd.Timestamp(t) - pdf["t"].iloc[0]).days // 7 - 3 for (_, _, t), (_, _, n) in run_walk(spark, pdf, known="known").items())
+
+
+def test_fits_by_group_equal_local_fits(spark):
+    from marlstone.operators.models import pooled_fits, pooled_report, predicted
+
+    df = frame(spark, n=500)
+    pdf = df.toPandas()
+    fits = pooled_fits(df, "g", "y", ["a", "b"])
+    firth = pooled_fits(df, "g", "y", ["a", "b"], firth=True)
+    null = pooled_fits(df, "g", "y", ["a", "b"], firth=True, fixed=1)
+    report = {(r.g, r.feature): r for r in pooled_report(df, "g", "y", ["a", "b"]).collect()}
+    scored = predicted(df, "g", ["a", "b"], fits).toPandas()
+    for g, part in pdf.groupby("g"):
+        design, y = K.with_constant(K.zscore(part[["a", "b"]].to_numpy())), part["y"].to_numpy(dtype=float)
+        b, cov, ll = K.fit_logit(design, y)
+        assert fits[g]["b"] == pytest.approx(b, abs=1e-6) and fits[g]["ll"] == pytest.approx(ll, abs=1e-6) and fits[g]["converged"]
+        assert report[g, "x1"].z == pytest.approx(b[1] / math.sqrt(cov[1, 1]), abs=1e-5) and report[g, "x1"].auc == pytest.approx(K.auc(y, design @ b), abs=1e-9)
+        assert scored[scored.g == g]["p"].sum() == pytest.approx(y.sum(), abs=1e-5)
+        beta, stat, _ = K.firth_test(design, y, 1)
+        assert firth[g]["b"][1] == pytest.approx(beta, abs=1e-6) and 2 * (firth[g]["ll"] - null[g]["ll"]) == pytest.approx(stat, abs=1e-6) and null[g]["b"][1] == 0
+    assert pooled_fits(df.limit(0), "g", "y", ["a"]) == {} and pooled_report(df.filter("y = 1"), "g", "y", ["a"]).count() == 0
+
+
+def test_normal_tail_and_label_methods(spark):
+    from marlstone.operators.events import two_sided_p
+    from marlstone.operators.labels import tail_labels
+
+    zs = [0.0, 0.3, -1.0, 1.959964, 3.5, -6.0, 7.9, 8.5, 1e9, None, float("nan")]
+    for r in spark.createDataFrame([(z,) for z in zs], "z double").select("z", two_sided_p(F.col("z")).alias("p")).collect():
+        assert r.p is None if r.z is None or r.z != r.z else r.p == pytest.approx(math.erfc(abs(r.z) / math.sqrt(2)), abs=1e-13)
+    df = frame(spark, n=300).withColumnRenamed("g", "coin").withColumnRenamed("t", "week")
+    for method in ("quantile", "global_z", "evt"):
+        assert {-1, 1} <= {r.tail_label for r in tail_labels(df, "z", method=method).collect()}
