@@ -102,6 +102,7 @@ def _to_byte(codec: str) -> _ToByte:
     return _ToByte(codec)
 
 
+@functools.lru_cache(maxsize=64)
 def to_bytes(text: str, codec: str) -> bytes:
     """One byte a character; 0, which no well-formed span holds, where there is none."""
     return text.translate(_to_byte(codec)).encode("latin-1")
@@ -287,14 +288,16 @@ def wide_spans(text: str, codec: str) -> list[tuple[int, int, str]]:
 
 def _frequency(text: str, script: str) -> float:
     """Mean commonness (0..1) of the letters of ``text`` outside ASCII in a script; other letters count against it."""
+    weights = _weights(script)
+    scores = [weights.get(c.lower(), -0.5) for c in text if c > "\x7f" and not c.isspace()]
+    return sum(scores) / max(1, len(scores))
+
+
+@functools.cache
+def _weights(script: str) -> dict[str, float]:
+    """Commonness of every letter of a script."""
     order = FREQUENT[script]
-    score, n = 0.0, 0
-    for c in text:
-        if ord(c) > 127 and not c.isspace():
-            n += 1
-            k = order.find(c.lower())
-            score += 1 - k / len(order) if k >= 0 else -0.5
-    return score / max(1, n)
+    return {c: 1 - k / len(order) for k, c in reversed(list(enumerate(order)))}
 
 
 def _case_breaks(text: str) -> float:
@@ -412,22 +415,23 @@ def repair(text: str | None) -> tuple[str | None, str | None]:
                 gain = length * share - 0.25 * sum(current[k] in _borrowed(codec) for a, b, _ in spans for k in range(a, b))
                 if gain > best[0]:
                     best, whole = (gain, spans), share > 0.95 and length >= 0.95 * foreign
-        for codec in READ_AS_WIDE:
-            spans = [s for s in wide_spans(current, codec) if _wide_is_damage(current, s)]
-            gain = sum(2 * (b - a) for a, b, _ in spans)
-            if gain > best[0] and not whole:
-                best = (gain, spans)
-        if not layer:
-            legacy = _legacy_repair(text)
-            if legacy and legacy[0] > best[0] and not whole:
-                break
-            legacy = None if best[1] else legacy
+        if not whole:  # a reading that explains the whole value stands, whatever the others give
+            for codec in READ_AS_WIDE:
+                spans = [s for s in wide_spans(current, codec) if _wide_is_damage(current, s)]
+                gain = sum(2 * (b - a) for a, b, _ in spans)
+                if gain > best[0]:
+                    best = (gain, spans)
+            if not layer:
+                legacy = _legacy_repair(text)
+                if legacy and legacy[0] > best[0]:
+                    break
+                legacy = None if best[1] else legacy
         if not best[1]:
             break
         current, touched, legacy = _apply(current, best[1]), True, None
     if legacy:
         current, touched = legacy[1], True
-    if not touched and "�" not in current and not _certain_left(current):
+    if not touched and "�" not in current:
         swapped = _swap_repair(current)
         if swapped is not None:
             current, touched = swapped, True
@@ -495,7 +499,7 @@ def western_cost(text: str) -> float:
 def _swap_repair(text: str) -> str | None:
     """The text as another Western set reads it, if that clears the oddities."""
     now = western_cost(text)
-    if now < 1:
+    if now < 1 or _certain_left(text):
         return None
     best, made = now - 0.9, None
     for read_as, codec in SWAPS:
@@ -532,8 +536,9 @@ def _legacy_repair(text: str) -> tuple[float, str] | None:
     """The best reading of the text as legacy bytes: characters it explains, and the result."""
     candidates = []
     if _HIGH_RUN.search(text) or _LETTER_RUN.search(text) or _SJIS_HEAD.search(text):
+        sets = ("cp1252", "latin-1") if to_bytes(text, "cp1252") != to_bytes(text, "latin-1") else ("cp1252",)
         for codec in LEGACY:
-            for read_as in ("cp1252", "latin-1"):
+            for read_as in sets:
                 quality, spans = legacy_spans(text, codec, read_as)
                 if spans and quality > 0.45:
                     candidates.append((quality * sum(b - a for a, b, _ in spans), _apply(text, spans)))
@@ -558,6 +563,14 @@ def _still_damaged(text: str) -> bool:
     return bool(_CUT_SHORT.search(text)) or any("\x80" <= c <= "\x9f" for c in text) or bool(re.search("[─-▟]", text)) or bool(_LETTER_RUN.search(text) and not re.search("[A-Za-z]", text))
 
 
+#: Values come again in other rows; a worker keeps the results of the last ones of usual length.
+_kept = functools.lru_cache(maxsize=1 << 15)(repair)
+
+
+def _seen(text: str | None) -> tuple[str | None, str | None]:
+    return _kept(text) if text is None or len(text) <= 512 else repair(text)
+
+
 def repair_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """The damaged values of ``fields``: ``key``, ``field``, ``value``, ``restored`` and ``kind``.
 
@@ -568,8 +581,7 @@ def repair_values(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
     @F.pandas_udf("restored string, kind string")
     def judge(values: pd.Series) -> pd.DataFrame:
-        known = {v: repair(v) for v in set(values)}
-        return pd.DataFrame([known[v] for v in values], columns=["restored", "kind"])
+        return pd.DataFrame([_seen(v) for v in values], columns=["restored", "kind"])
 
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]))
     d = df.select(F.col(key), pairs.alias("__p")).select(key, "__p.field", "__p.value").filter(F.octet_length("value") > F.char_length("value"))
