@@ -114,12 +114,12 @@ def agreement(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
     return t.withColumns({"agree": both(alpha), "agree_bonferroni": both(alpha / len(WINDOWS))})
 
 
-def bootstrap_means(cars: DataFrame, groups: list[str], value: str = "car", replicates: int = 10_000, alpha: float = 0.05, seed: int = 7, ids: list[str] | None = None) -> DataFrame:
+def bootstrap_means(cars: DataFrame, groups: list[str], value: str = "car", replicates: int = 10_000, alpha: float = 0.05, seed: int = 7, ids: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """Percentile interval of the mean by a Poisson bootstrap: ``groups``, ``mean``, ``lo``, ``hi``.
 
     Every row draws its own weight in every replicate from a hash of its content (or of ``ids``, columns
     that tell rows apart), so replicates are sums with map-side combining, need no sample in one
-    place, and come out alike on every run.
+    place, and come out alike on every run. ``digits`` rounds the results, halves settled upward.
     """
     b = cars.withColumn("__b", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids or cars.columns], F.col("__b").cast("string"), F.lit(str(seed))))
@@ -132,7 +132,8 @@ def bootstrap_means(cars: DataFrame, groups: list[str], value: str = "car", repl
     b = b.withColumn("__w", weight)
     means = b.groupBy(*groups, "__b").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("__m"))
     bands = means.groupBy(*groups).agg(F.percentile("__m", F.lit(alpha / 2)).alias("lo"), F.percentile("__m", F.lit(1 - alpha / 2)).alias("hi"))
-    return cars.groupBy(*groups).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(bands, groups)
+    out = cars.groupBy(*groups).agg(F.avg(value).alias("mean"), F.count("*").alias("n")).join(bands, groups)
+    return out if digits is None else out.withColumns({c: F.round(F.col(c) + 2e-9, digits) for c in ("mean", "lo", "hi")})
 
 
 def recovery(events: DataFrame, series: DataFrame, key: str, day: str = "d", price: str = "price", horizon: int = 180) -> DataFrame:

@@ -68,8 +68,7 @@ def e5_tests(spark: SparkSession, d: str) -> DataFrame:
 def e9_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Percentile interval of the mean abnormal sum by sign and window."""
     cars = window_sums(_ar(spark, d), "asset").select("asset", "sign", "ev_date", "window", "car")
-    b = bootstrap_means(durable(cars), ["sign", "window"], replicates=10_000, ids=["asset", "sign", "ev_date", "window"])
-    return b.select("sign", "window", "n", *r6(mean=F.col("mean"), lo=F.col("lo"), hi=F.col("hi")))
+    return bootstrap_means(durable(cars), ["sign", "window"], replicates=10_000, ids=["asset", "sign", "ev_date", "window"], digits=6)
 
 
 def e10_agreement(spark: SparkSession, d: str) -> DataFrame:
